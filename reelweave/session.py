@@ -46,13 +46,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, spread: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a result feeds several branches: lineage is cut and a lost
-    executor costs a re-read, not a recomputation.
+    executor costs a re-read, not a recomputation.  ``spread`` keeps one file
+    per core, for small tables whose rows fan out into much work.
     """
     spark = df.sparkSession
+    if spread:
+        df = df.repartition(2 * spark.sparkContext.defaultParallelism)
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
