@@ -592,7 +592,7 @@ _MERGE_ALL = _MERGE_SRC.replace("thread_id >= 1500 AND thread_id < 3000", "threa
 _FOLD = """, nl AS (SELECT h, list(m ORDER BY newest DESC, pos) AS mags FROM (SELECT h, m, max(thread_id) AS newest, min_by(pos, -thread_id) AS pos FROM (SELECT h, thread_id, unnest(mags) AS m, generate_subscripts(mags, 1) AS pos FROM n) GROUP BY 1, 2) GROUP BY 1),
 nn AS (SELECT h, max(thread_id) AS thread_id, arg_max(raw_title, thread_id) AS raw_title, arg_max(type, thread_id) AS type, arg_max(url, thread_id) FILTER (url <> '') AS url FROM n GROUP BY 1),
 mg AS (SELECT COALESCE(nn.h, o.h) AS h, COALESCE(nn.thread_id, o.thread_id) AS thread_id, COALESCE(nn.raw_title, o.raw_title) AS raw_title, COALESCE(nn.type, o.type) AS type, COALESCE(nn.url, o.url, '') AS url,
-  list_concat(COALESCE(nl.mags, []), list_filter(COALESCE(o.mags, []), x -> NOT list_contains(COALESCE(nl.mags, []), x))) AS mags FROM nn FULL JOIN o ON nn.h = o.h LEFT JOIN nl ON nl.h = nn.h)"""
+  list_concat(COALESCE(nl.mags, []), list_filter(COALESCE(o.mags, []), lambda x: NOT list_contains(COALESCE(nl.mags, []), x))) AS mags FROM nn FULL JOIN o ON nn.h = o.h LEFT JOIN nl ON nl.h = nn.h)"""
 
 
 @query(_MERGE_ALL + _FOLD + " SELECT h AS thread_hash, thread_id, raw_title, type, url, array_to_string(mags, ' ') AS links FROM mg")
@@ -602,7 +602,7 @@ def merge_threads(spark, d):
     return m.select("thread_hash", "thread_id", "raw_title", "type", "url", F.array_join("magnet_uris", " ").alias("links"))
 
 
-@query(_MERGE_ALL + """ SELECT n.thread_id, o.raw_title = n.raw_title AND (o.url = '' OR n.url = '' OR o.url = n.url) AND len(o.mags) = len(n.mags) AND len(list_filter(n.mags, x -> NOT list_contains(o.mags, x))) = 0 AS unchanged FROM n JOIN o USING (h)""")
+@query(_MERGE_ALL + """ SELECT n.thread_id, o.raw_title = n.raw_title AND (o.url = '' OR n.url = '' OR o.url = n.url) AND len(o.mags) = len(n.mags) AND len(list_filter(n.mags, lambda x: NOT list_contains(o.mags, x))) = 0 AS unchanged FROM n JOIN o USING (h)""")
 def unchanged_rows(spark, d):
     old, new = _merge_sides(spark, d)
     o = old.select("thread_hash", F.col("raw_title").alias("t0"), F.col("url").alias("u0"), F.col("magnet_uris").alias("m0"))
@@ -613,7 +613,7 @@ def unchanged_rows(spark, d):
 _STRIPPED = "'magnet:?xt=urn:btih:' || lower(substr(magnet, 21, 40)) || CASE WHEN regexp_matches(magnet, 'dn=') THEN '&dn=' || regexp_extract(magnet, 'dn=([^&]*)', 1) ELSE '' END"
 
 
-@query(f"""{KEYED.replace(with_clause(THREADS), with_clause(LINKED, LINKS)).replace('FROM fx_threads)', 'FROM fx_linked)', 1) if False else ''}{with_clause(LINKED, LINKS)},{sq.titles(LINKED, 'raw_title')},
+@query(f"""{with_clause(LINKED, LINKS)},{sq.titles(LINKED, 'raw_title')},
 keyed AS (SELECT *, {_TOPIC} AS topic_id, sha256(CASE WHEN {_TOPIC} <> '' THEN 'topic_' || {_TOPIC} ELSE lower(type) || CASE WHEN clean_title <> '' AND year <> 0 THEN '_' || year ELSE '' END || '_' || {_IDT} END) AS thread_hash,
  CASE WHEN {_TOPIC} <> '' THEN regexp_extract(url, '^(https?://[^/]+)', 1) || '/index.php?/forums/topic/' || {_TOPIC} || '-a/' ELSE '' END AS cu FROM pt),
 top AS (SELECT thread_hash, arg_max(thread_id, (updated_at, -thread_id)) AS thread_id, count(*) AS rows, COALESCE(arg_max(cu, (updated_at, -thread_id)) FILTER (url <> ''), '') AS url FROM keyed GROUP BY 1),

@@ -79,18 +79,18 @@ def titles(source: str, title: str, name: str = "pt") -> str:
 
 
 def valid_error(title: str, year: str | None = None) -> str:
-    words = f"list_filter(string_split_regex(lower({title}), '\\s+'), x -> x <> '')"
+    words = f"list_filter(string_split_regex(lower({title}), '\\s+'), lambda x: x <> '')"
     metas = "[" + ",".join(q(w) for w in fv.METADATA_WORDS) + "]"
     year_rule = f"WHEN {year} <> 0 AND ({year} < 1900 OR {year} > 2030) THEN {q(fv.INVALID_YEAR)}" if year else ""
     return (f"CASE WHEN trim({title}) = '' THEN {q(fv.INVALID_EMPTY)} "
-            f"WHEN len(list_filter({words}, x -> list_contains({metas}, x))) * 2 > len({words}) THEN {q(fv.INVALID_METADATA)} {year_rule} END")
+            f"WHEN len(list_filter({words}, lambda x: list_contains({metas}, x))) * 2 > len({words}) THEN {q(fv.INVALID_METADATA)} {year_rule} END")
 
 
 def episodes(source: str, col: str, name: str, tag: str = "e") -> str:
     """CTE ``name``: source rows with {tag}_season, {tag}_lo, {tag}_hi, {tag}_n of a text column."""
     lo1, hi1 = num(ext(col, fv.EPISODE_RANGE, 1)), num(ext(col, fv.EPISODE_RANGE, 2))
     loose = (f"list_filter(list_zip(regexp_extract_all({col}, {q(fv.LOOSE_RANGE)}, 1), regexp_extract_all({col}, {q(fv.LOOSE_RANGE)}, 2)), "
-             "r -> TRY_CAST(r[1] AS INTEGER) < 1000 AND TRY_CAST(r[2] AS INTEGER) < 1000 AND TRY_CAST(r[1] AS INTEGER) <= TRY_CAST(r[2] AS INTEGER))")
+             "lambda r: TRY_CAST(r[1] AS INTEGER) < 1000 AND TRY_CAST(r[2] AS INTEGER) < 1000 AND TRY_CAST(r[1] AS INTEGER) <= TRY_CAST(r[2] AS INTEGER))")
     return f"""
 {name}_a AS (SELECT *, {num(ext(col, fv.SEASON))} AS s0, {lo1} AS l1, {hi1} AS h1, {loose} AS lz, {num(ext(col, fv.EPISODE_SINGLE))} AS one,
    {num(ext(col, fv.DAILY_DATE, 1))} AS cen, {num(ext(col, fv.DAILY_DATE, 2))} AS mon, {num(ext(col, fv.BARE_EPISODE))} AS bare FROM {source}),
@@ -138,9 +138,9 @@ def links(source: str, kind: str, name: str = "pl") -> str:
 def bigrams(source: str, col: str, out: str, name: str) -> str:
     """CTE ``name``: source rows with the distinct look-alike bigrams of a column."""
     reps = "CASE c " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fv.LOOK_ALIKES.items()) + " ELSE c END"
-    chars = f"list_transform(string_split({col}, ''), c -> string_split({reps}, ''))"
-    pairs = (f"list_distinct(flatten(list_transform(range(1, length({col})), i -> flatten(list_transform({out}_c[i], "
-             f"a -> list_transform({out}_c[i + 1], b -> a || b))))))")
+    chars = f"list_transform(string_split({col}, ''), lambda c: string_split({reps}, ''))"
+    pairs = (f"list_distinct(flatten(list_transform(range(1, length({col})), lambda i: flatten(list_transform({out}_c[i], "
+             f"lambda a: list_transform({out}_c[i + 1], lambda b: a || b))))))")
     return f"""
 {name}_a AS (SELECT *, {chars} AS {out}_c FROM {source}),
 {name} AS (SELECT * EXCLUDE ({out}_c), {pairs} AS {out} FROM {name}_a)"""
