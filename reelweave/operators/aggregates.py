@@ -15,6 +15,7 @@ from reelweave.functions import release as rel
 from reelweave.functions import text as tx
 from reelweave.operators import joins as jn
 from reelweave.operators import ranking as rk
+from reelweave.session import materialize
 
 
 def status_counts(threads: DataFrame, failures: DataFrame) -> DataFrame:
@@ -71,7 +72,8 @@ def consolidated_links(threads: DataFrame, key: str) -> DataFrame:
 
 def consolidate_duplicates(threads: DataFrame, default_origin: str = idn.DEFAULT_ORIGIN) -> DataFrame:
     """One row per identity: the latest record, with links and url taken over from the others."""
-    t = idn.add_identity_keys(threads.drop("thread_hash"), default_origin=default_origin)
+    # read twice below, and keys computed from titles are costly to repeat
+    t = materialize(idn.add_identity_keys(threads.drop("thread_hash"), default_origin=default_origin), "keyed-threads")
     newest = F.struct((-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("newest"), "thread_id")
     keep = [c for c in ("thread_id", "raw_title", "clean_title", "type", "year", "tmdb_id", "status", "catalog", "posted_at", "updated_at") if c in t.columns]
     top = t.groupBy("thread_hash").agg(

@@ -574,7 +574,7 @@ def links_for_request(spark, d):
 
 # --- merges ------------------------------------------------------------------
 
-_MERGE_SRC = f"""{with_clause(THREADS, LINKS)}, l AS (SELECT thread_id, list(m ORDER BY first_id) AS mags FROM (SELECT thread_id, magnet AS m, min(link_id) AS first_id FROM fx_links GROUP BY 1, 2) GROUP BY 1),
+_MERGE_SRC = f"""{with_clause(THREADS, LINKS)}, l AS (SELECT thread_id, list(m ORDER BY first_id, m) AS mags FROM (SELECT thread_id, magnet AS m, min(link_id) AS first_id FROM fx_links GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT t.thread_id, raw_title, {sq.media_type('type')} AS type, url, COALESCE(mags, []) AS mags, CAST(thread_id % 1500 AS STRING) AS h FROM fx_threads t LEFT JOIN l USING (thread_id)),
 o AS (SELECT * FROM s WHERE thread_id < 1500), n AS (SELECT * FROM s WHERE thread_id >= 1500 AND thread_id < 3000)"""
 
@@ -726,3 +726,50 @@ def page_listings(spark, d):
     items = fixture(spark, d, "fx_listing_pages")
     pages = items.groupBy("url", F.pmod(F.hash("thread_id"), F.lit(64)).alias("sheet")).agg(F.concat_ws("\n", F.collect_list("item")).alias("html"))
     return pg.extract_listings(pages).select("raw_title", "topic_url", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
+
+
+@query(f"""{with_clause(THREADS, LINKS)} SELECT DISTINCT t.thread_id, trim(raw_title) AS raw_title, magnet FROM fx_threads t JOIN fx_links USING (thread_id)""")
+def page_magnets(spark, d):
+    t = fixture(spark, d, LINKS).join(spark.table(THREADS).select("thread_id", "raw_title"), "thread_id")
+    anchors = F.concat(F.lit('<a href="'), F.replace("magnet", F.lit("&"), F.lit("&amp;")), F.lit('">x</a>'))
+    html = F.concat(F.lit('<html><h1 class="ipsType_pageTitle"> '), F.first("raw_title"), F.lit(' </h1><div class="ipsPad">'),
+                    F.concat_ws("<br>", F.collect_list(anchors)), F.lit("</div></html>"))
+    pages = t.groupBy("thread_id").agg(html.alias("html"))
+    return pg.extract_links(pages).select("thread_id", "raw_title", F.explode("magnet_uris").alias("magnet"))
+
+
+# --- streams -----------------------------------------------------------------
+
+def _event_stream(spark, d):
+    tables(spark, d)
+    raw = spark.readStream.schema(spark.table("events").schema).parquet(f"{d}/events.parquet")
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, d):
+    from reelweave.streaming import jobs
+    out = jobs.run_to_table(jobs.stream_first_seen(_event_stream(spark, d), ["user_id", "event_type"], "ts", "60 days"), "first-seen")
+    return out.select("user_id", "event_type")
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_status_counts(spark, d):
+    from reelweave.streaming import jobs
+    s = jobs.stream_status_counts(_event_stream(spark, d), "ts", "event_type", "1 day")
+    out = jobs.run_batches(s, "status-counts", "complete")
+    return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query()
+def stream_rate_limit(spark, d):
+    from reelweave.streaming import jobs
+    return jobs.run_to_table(jobs.stream_rate_limit(_event_stream(spark, d), "user_id", "ts", "event_id", 8, 43200), "rate-limit")
+
+
+@query("SELECT page_id FROM pages WHERE contains(html, '<a ') AND NOT (contains(html, 'cloudflare') AND (contains(html, 'captcha') OR contains(html, 'challenge-platform') OR contains(html, 'Access denied'))) AND regexp_matches(html, '(?i)<title')")
+def stream_pages(spark, d):
+    from reelweave.streaming import jobs
+    tables(spark, d)
+    raw = spark.readStream.schema(spark.table("pages").schema).parquet(f"{d}/pages.parquet")
+    return jobs.stream_pages(raw, "pages").filter(F.contains("html", F.lit("<a "))).select("page_id")
