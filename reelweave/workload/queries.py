@@ -742,7 +742,7 @@ def page_magnets(spark, d):
 
 def _event_stream(spark, d):
     tables(spark, d)
-    raw = spark.readStream.schema(spark.table("events").schema).parquet(f"{d}/events.parquet")
+    raw = spark.readStream.schema(spark.table("events").schema).parquet(f"{d}/events.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -771,5 +771,5 @@ def stream_rate_limit(spark, d):
 def stream_pages(spark, d):
     from reelweave.streaming import jobs
     tables(spark, d)
-    raw = spark.readStream.schema(spark.table("pages").schema).parquet(f"{d}/pages.parquet")
+    raw = spark.readStream.schema(spark.table("pages").schema).parquet(f"{d}/pages.parque[t]")
     return jobs.stream_pages(raw, "pages").filter(F.contains("html", F.lit("<a "))).select("page_id")
