@@ -11,6 +11,7 @@ from reelweave.functions import paths as pt
 from reelweave.functions import regex as rx
 from reelweave.functions import release as rel
 from reelweave.functions import text as tx
+from reelweave.session import materialize
 
 
 def by_status(threads: DataFrame, status: str) -> DataFrame:
@@ -56,7 +57,9 @@ def drop_divergent_links(links: DataFrame, link_col: str, type_col: str, title_c
         df = df.withColumn("_t", F.coalesce(F.col(col), F.lit("")))
         df = tx.add_dice(df, "_t", "n_clean_title", f"_dice{i}").drop("_t")
         alike = alike | (F.col(f"_dice{i}") >= fv.DIVERGENT_BELOW)
-    return df.filter(~named | alike).drop(*[f"_dice{i}" for i in range(len(title_cols))], *[f"n_{c}" for c in rel.ATTRIBUTES])
+    df = df.withColumn("_keep", ~named | alike).drop(*[f"_dice{i}" for i in range(len(title_cols))], *[f"n_{c}" for c in rel.ATTRIBUTES])
+    # written first: a filter on parsed columns would be pushed down and repeat the parsing at every step
+    return materialize(df, "compared-links").filter("_keep").drop("_keep")
 
 
 def playable_files(files: DataFrame, relaxed: Column | None = None, path_col: str = "path", size_col: str = "bytes") -> DataFrame:
