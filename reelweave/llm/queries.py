@@ -23,6 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP1 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE [ws[i], ws[i + 1]] END AS s
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS MATERIALIZED (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(doc_id, r) AS (SELECT DISTINCT a, a FROM edge UNION SELECT e.b, reach.r FROM reach JOIN edge e ON e.a = reach.doc_id WHERE reach.r < e.b),
+least_ AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(l.r, d.doc_id) AS component_id, coalesce(l.r, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_ l USING (doc_id)
+"""
+
+
+@query(_OP1)
+def op1_minhash(spark, d):
+    from reelweave.llm import minhash
+
+    return minhash.near_duplicates(table(spark, d, "documents"), words=2)
+
+
 @query()
 def op2_bpe(spark, d):
     from reelweave.llm import bpe
