@@ -7,8 +7,9 @@ before kept, and is written as Parquet before the next one reads it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelweave.llm import bpe, langid
+from reelweave.llm import bpe, langid, linededup, minhash, mixing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,12 +20,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.score(docs, model, COLUMNS[1:]).filter("accepted").select(*COLUMNS)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document or line has; a document left without any word goes."""
+    out = linededup.dedup_lines(docs.select(*COLUMNS))
+    left = out.filter(F.expr(r"_removed = 0 OR rlike(text, '[^\x20\x09-\x0D]')"))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id."""
+    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate says."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("language_id", identify_language), ("bpe", tokenize)]
+STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("near_dedup", dedup_documents), ("mixing", mix_sources), ("bpe", tokenize)]
 #: The language model, the signatures and the tokenizer have no SQL form.
 ORACLE_SQL = None
 

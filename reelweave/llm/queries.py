@@ -61,3 +61,64 @@ def op10_langid(spark, d):
     from reelweave.llm import langid
 
     return langid.predict(table(spark, d, "documents")).drop("accepted")
+
+
+_OP6 = f"""
+WITH RECURSIVE sized AS MATERIALIZED (
+  SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size,
+         ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, 'null'))[:8])::BIGINT AS u FROM documents),
+total AS (SELECT source, sum(size)::BIGINT AS n FROM sized GROUP BY source),
+weighed AS (SELECT source, n, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM total),
+ranked AS MATERIALIZED (SELECT *, 2.0::DOUBLE * n AS most, row_number() OVER (ORDER BY 2.0::DOUBLE * n / w, source IS NULL, encode(source)) AS k FROM weighed),
+filled(k, rest, weight, source, target) AS (
+  SELECT 0::BIGINT, 1.5::DOUBLE * (SELECT sum(n) FROM ranked)::DOUBLE, (SELECT sum(w) FROM ranked), NULL::VARCHAR, 0.0::DOUBLE
+  UNION ALL
+  SELECT r.k, CASE WHEN r.w * f.rest / f.weight >= r.most THEN f.rest - r.most ELSE f.rest END,
+         CASE WHEN r.w * f.rest / f.weight >= r.most THEN f.weight - r.w ELSE f.weight END, r.source,
+         CASE WHEN r.w * f.rest / f.weight >= r.most THEN r.most ELSE r.w * (f.rest / f.weight) END
+  FROM filled f JOIN ranked r ON r.k = f.k + 1),
+rate AS MATERIALIZED (
+  SELECT r.source, r.n, f.target, CASE WHEN r.n > 0 THEN floor(f.target / r.n) ELSE 0 END::BIGINT AS whole,
+         CASE WHEN r.n > 0 THEN (f.target / r.n - floor(f.target / r.n)) * 4294967296 ELSE 0 END AS part
+  FROM ranked r JOIN filled f USING (k)),
+turned AS (
+  SELECT r.source, t.k, abs(any_value(r.whole * r.n) + sum(CASE WHEN (s.u + t.k * 134217728) % 4294967296 < r.part THEN s.size ELSE 0 END) - any_value(r.target)) AS off_by
+  FROM sized s JOIN rate r ON s.source IS NOT DISTINCT FROM r.source, range(32) t(k) GROUP BY r.source, t.k),
+best AS (SELECT source, arg_min(k, (off_by, k)) AS k FROM turned GROUP BY source)
+SELECT s.doc_id, s.size::BIGINT AS size, r.n AS source_size, r.target,
+       (r.whole + CASE WHEN (s.u + b.k * 134217728) % 4294967296 < r.part THEN 1 ELSE 0 END)::BIGINT AS copies,
+       (s.size * (r.whole + CASE WHEN (s.u + b.k * 134217728) % 4294967296 < r.part THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized s JOIN rate r ON s.source IS NOT DISTINCT FROM r.source JOIN best b ON s.source IS NOT DISTINCT FROM b.source
+"""
+
+
+@query(_OP6)
+def op6_mixing(spark, d):
+    from reelweave.llm import mixing
+
+    return mixing.taken(table(spark, d, "documents"))
+
+
+_OP8 = f"""
+WITH raw AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+line AS MATERIALIZED (SELECT doc_id, line, l, {_WORDS.format("l")} AS ws FROM raw),
+first_ AS MATERIALIZED (SELECT ws, min((doc_id, line)) AS o FROM line WHERE len(ws) >= 3 GROUP BY ws),
+near AS MATERIALIZED (SELECT ws, o, unnest(range(1, len(ws) + 1)) AS i FROM first_ WHERE len(ws) >= 8),
+variant AS MATERIALIZED (SELECT ws, o, i, ws[:i - 1] || ws[i + 1:] AS v FROM near),
+changed AS (SELECT v, i, min(o) AS o FROM variant GROUP BY v, i HAVING count(*) > 1),
+gone AS (
+  SELECT a.ws FROM variant a JOIN changed c ON a.v = c.v AND a.i = c.i WHERE c.o < a.o
+  UNION
+  SELECT CASE WHEN b.o < a.o THEN a.ws ELSE b.ws END FROM variant a JOIN first_ b ON a.v = b.ws WHERE len(b.ws) >= 8),
+judged AS (SELECT line.*, coalesce((doc_id, line) > f.o OR g.ws IS NOT NULL, false) AS drop FROM line LEFT JOIN first_ f ON f.ws = line.ws LEFT JOIN gone g ON g.ws = line.ws)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_removed,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY line) FILTER (NOT drop), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query(_OP8)
+def op8_linededup(spark, d):
+    from reelweave.llm import linededup
+
+    return linededup.report(table(spark, d, "documents"))
