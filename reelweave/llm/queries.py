@@ -122,3 +122,22 @@ def op8_linededup(spark, d):
     from reelweave.llm import linededup
 
     return linededup.report(table(spark, d, "documents"))
+
+
+_OP3 = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS MATERIALIZED (SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50)),
+least_ AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM win JOIN least_ USING (h) WHERE doc_id > lo),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM w),
+left_ AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS kept FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(l.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN left_ l USING (doc_id)
+"""
+
+
+@query(_OP3)
+def op3_substring(spark, d):
+    from reelweave.llm import substring
+
+    return substring.digests(table(spark, d, "documents"))
