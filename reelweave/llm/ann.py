@@ -8,9 +8,10 @@ those are ranked by the exact inner product in double precision.
 
 The codebooks are fitted on ``SAMPLE`` vectors, chosen by a hash of the id;
 every vector is indexed.  What is broadcast is the codebooks and a count a
-cell, both bounded by ``MAX_CENTROIDS``.  Cells are cut into blocks of about
-``BLOCK`` vectors and their queries into blocks of ``QUERIES``, so copies of
-one vector don't meet in one task; each block keeps the k best of each query.
+cell, both bounded by ``MAX_CENTROIDS``.  The cells of one first-half centroid
+are cut into blocks of about ``BLOCK`` vectors and the queries that visit them
+into groups of about ``QUERIES``, so copies of one vector don't meet in one
+task; each block keeps the k best of each query.
 
 Defined results: vectors that are null or zero, or hold a null or non-finite
 component, and rows without id, take no part; nor do vectors whose dimension
@@ -34,7 +35,9 @@ from pyspark.sql.window import Window
 
 SAMPLE = 20_000
 MAX_CENTROIDS = 128
+#: A query meets so many vectors at least, and this share of all: 0.45 gives a recall over 0.9 even for directions drawn at random, the worst case.
 CANDIDATES = 6_000
+SHARE = 0.45
 BLOCK = 1_000
 QUERIES = 1_000
 ROUNDS = 12
@@ -96,7 +99,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, candidates: int = CANDIDATES, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, candidates: int = CANDIDATES, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found."""
     spark = vectors.sparkSession
     out_schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -106,11 +109,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, candidates: int =
         return spark.createDataFrame([], out_schema)
     dim, total = kinds[0]["d"], kinds[0]["n"]
     rows = rows.filter(F.size("v") == dim)
-    share = min(1.0, sample / total)
-    picked = rows.filter(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))) if share < 1 else rows
+    candidates = max(candidates, int(np.ceil(share * total)))
+    picked = rows if total <= sample else rows.filter(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(1 << 20)) < max(1, (sample << 20) // total))
     points = np.array([r["v"] for r in picked.select("v").collect()], float).reshape(-1, dim)
     cut = max(1, dim // 2)
-    n = int(min(MAX_CENTROIDS, max(2, round(2 * total ** 0.25))))
+    n = int(min(MAX_CENTROIDS, max(2, round(4.2 * total ** 0.25))))
     books = (codebook(points[:, :cut], n, 1), codebook(points[:, cut:], n, 2) if dim > cut else np.zeros((1, 0)))
     width = len(books[1])
     shared = spark.sparkContext.broadcast(books)
@@ -130,37 +133,51 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, candidates: int =
     counts = spark.sparkContext.broadcast(sizes)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each query and first-half centroid the second-half centroids whose cells it visits."""
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            cells = [walk(q, shared.value, counts.value, candidates) for q in x]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cells, pa.list_(pa.int64()))], names=["query_id", "q", "cells"])
+            rows, firsts, seconds = [], [], []
+            for k, q in enumerate(_matrix(batch.column("v"))):
+                by: dict[int, list[int]] = {}
+                for cell in walk(q, shared.value, counts.value, candidates):
+                    by.setdefault(cell // width, []).append(cell % width)
+                rows += [k] * len(by)
+                firsts += by
+                seconds += by.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(firsts, pa.int64()), pa.array(seconds, pa.list_(pa.int32()))], names=["query_id", "q", "first", "seconds"])
 
     queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    visits = queries.mapInArrow(visit, "query_id bigint, q array<double>, cells array<bigint>")
-    asked = {r["cell"]: r["count"] for r in visits.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
-    layout = spark.createDataFrame([(int(c), int(-(-s // BLOCK)), int(-(-asked[c] // QUERIES))) for c, s in enumerate(sizes.tolist()) if c in asked], "cell bigint, blocks int, groups int")
-    layout = F.broadcast(layout)  # at most MAX_CENTROIDS ** 2 rows
-    left = visits.select("query_id", "q", F.explode("cells").alias("cell")).join(layout, "cell").select(
-        "query_id", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("group"))
-    right = index.join(layout, "cell").select(
-        "vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    visits = queries.mapInArrow(visit, "query_id bigint, q array<double>, first bigint, seconds array<int>")
+    held = sizes.reshape(len(books[0]), width).sum(axis=1)
+    n_queries = queries.count()
+    groups = max(1, -(-n_queries // QUERIES))
+    layout = F.broadcast(spark.createDataFrame([(i, int(-(-n // BLOCK))) for i, n in enumerate(held.tolist()) if n], "first bigint, blocks int"))  # a row a centroid
+    left = visits.join(layout, "first").select("query_id", "q", "first", "seconds", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group"))
+    right = index.withColumn("first", F.expr(f"cell div {width}")).join(layout, "first").select(
+        "vec_id", "v", (F.col("cell") % width).cast("int").alias("second"), "first", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
 
     def rank(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(vs):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        vs = vs.sort_values("vec_id", kind="stable")
-        ids, x = vs["vec_id"].to_numpy(), np.stack(vs["v"].to_numpy())
-        qid, q = qs["query_id"].to_numpy(), np.stack(qs["q"].to_numpy())
-        found = []
-        for i in range(len(q)):
-            score = (x * q[i]).sum(axis=1)
-            score[ids == qid[i]] = -np.inf
-            best = np.argsort(-score, kind="stable")[:k]
-            best = best[score[best] > -np.inf]
-            found.append((np.full(len(best), qid[i]), ids[best], score[best]))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(qs) and len(vs):
+            vs = vs.sort_values("vec_id", kind="stable")
+            ids, second, x = vs["vec_id"].to_numpy(), vs["second"].to_numpy(), np.stack(vs["v"].to_numpy())
+            qid, q = qs["query_id"].to_numpy(), np.stack(qs["q"].to_numpy())
+            visited = np.zeros((len(qs), width), bool)
+            for i, own in enumerate(qs["seconds"]):
+                visited[i, own] = True
+            for start in range(0, len(qid), 256):
+                rough = q[start:start + 256] @ x.T
+                rough[~visited[start:start + 256][:, second] | (ids[None, :] == qid[start:start + 256, None])] = -np.inf
+                # the k-th best within rounding; those get the exact product
+                least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(rough), -np.inf)
+                for i, (row, low) in enumerate(zip(rough, least, strict=True)):
+                    at = np.flatnonzero((row > -np.inf) & (row >= low - 1e-9 * max(1.0, abs(low) if np.isfinite(low) else 1.0)))
+                    score = (x[at] * q[start + i]).sum(axis=1)
+                    best = np.argsort(-score, kind="stable")[:k]
+                    found.append((np.full(len(best), qid[start + i]), ids[at[best]], score[best]))
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
-    key = ["cell", "block", "group"]
+    key = ["first", "block", "group"]
     ranked = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
