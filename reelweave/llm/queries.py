@@ -175,3 +175,17 @@ def op7_ann(spark, d):
     from reelweave.llm import ann
 
     return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op9_lm(spark, d):
+    from reelweave.llm import lm
+
+    return lm.score(table(spark, d, "documents"))
+
+
+@query()
+def op5_fingerprint(spark, d):
+    from reelweave.llm import fingerprint
+
+    return fingerprint.likenesses(table(spark, d, "documents"))
