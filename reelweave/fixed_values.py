@@ -317,3 +317,6 @@ FOLDED_LETTERS = {
     "y": "ýÿŷ",
     "z": "źżž",
 }
+
+# spans of a title that are judged for metadata
+BRACKET_PAIRS = 50

@@ -19,9 +19,9 @@ def topic_id(url: Column) -> Column:
 
 def canonical_url(url: Column, default_origin: str = DEFAULT_ORIGIN) -> Column:
     """Topic URL in one fixed shape; a URL without topic id stays as it is."""
-    scheme, host = F.try_parse_url(url, F.lit("PROTOCOL")), F.try_parse_url(url, F.lit("HOST"))
-    port = F.regexp_extract(url, r"^[^/?#]*//[^/?#]*(:\d+)(?:[/?#]|\z)", 1)
-    origin = F.coalesce(F.concat(F.lower(scheme), F.lit("://"), host, port), F.lit(default_origin))
+    shape = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#]+)"  # as lenient about the host's letters and the rest as the web is
+    scheme, host = F.regexp_extract(url, shape, 1), F.regexp_extract(url, shape, 2)
+    origin = F.when(host != "", F.concat(F.lower(scheme), F.lit("://"), host)).otherwise(F.lit(default_origin))
     return F.when(topic_id(url) == "", url).otherwise(
         F.concat(origin, F.lit("/index.php?/forums/topic/"), topic_id(url), F.lit("-a/")))
 

@@ -213,6 +213,21 @@ def parse_releases(df: DataFrame, title_col: str, type_col: str, prefix: str = "
     return df.withColumn(f"{prefix}is_valid", F.col(f"{prefix}validation_error").isNull())
 
 
+def parse_distinct(df: DataFrame, title_col: str, type_col: str, prefix: str = "") -> DataFrame:
+    """``parse_releases`` on the distinct (name, type) pairs, joined back.
+
+    Links repeat few names very often, so the patterns run once a name; popular
+    names are left to the skew join.
+    """
+    spark = df.sparkSession
+    name, kind = F.coalesce(F.col(title_col), F.lit("")), F.lower(F.coalesce(F.col(type_col), F.lit("")))
+    df = df.withColumns({"_parse_name": name, "_parse_kind": kind})
+    # a fixed number of partitions: few bytes, but much work each
+    names = df.select("_parse_name", "_parse_kind").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "_parse_name", "_parse_kind")
+    parsed = parse_releases(names, "_parse_name", "_parse_kind", prefix=prefix)
+    return df.join(parsed, ["_parse_name", "_parse_kind"]).drop("_parse_name", "_parse_kind")
+
+
 def quality_from_height(col: Column) -> Column:
     out = None
     for height, name in fv.HEIGHT_QUALITY.items():

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from reelweave import fixed_values as fv
 from reelweave.functions import regex as rx
 
-_BRACKET_DEPTH = 6
-
 
 def normalize_media_type(col: Column) -> Column:
     """``series`` for the known series words, ``movie`` for anything else."""
@@ -62,30 +60,43 @@ def strip_year_artifact(col: Column) -> Column:
     return F.when(F.regexp_like(col, F.lit(pattern)), removed).otherwise(col)
 
 
-def _balanced_pattern(depth: int) -> str:
-    inner = r"[(\[][^()\[\]]*+[)\]]"
-    for _ in range(depth - 1):
-        inner = rf"[(\[][^()\[\]]*+(?:{inner}[^()\[\]]*+)*+[)\]]"
-    return inner
-
-
 _METADATA_BLOCK = "(?i)(?:" + rx.any_of(fv.BRACKET_TOKENS) + ")|" + rx.to_java(fv.SIZE_TEXT).replace("(?i)", "")
 
 
 def strip_bracket_metadata(col: Column) -> Column:
-    """Bracketed spans that hold a metadata token or a size removed.
+    """Bracketed spans, nested to any depth, that hold a metadata token or a size removed.
 
-    A span that contains a marked span is marked too, so deleting the outermost
-    marked spans is enough; longer texts go first because one span's text can
-    also be part of a longer one.  Pass a plain column: it is read twice.
+    One pass over the brackets and the runs between them with a stack of open
+    spans: each has its text as read and as kept.  Any closing bracket closes
+    the last open one; what is never closed stays.  Only the first
+    ``BRACKET_PAIRS`` spans to close are judged.  Pass a plain column: it is
+    read more than once.
     """
-    spans = F.filter(
-        F.regexp_extract_all(col, F.lit(_balanced_pattern(_BRACKET_DEPTH)), F.lit(0)),
-        lambda s: F.regexp_like(s, F.lit(_METADATA_BLOCK)),
-    )
-    longest_first = F.reverse(F.array_sort(F.transform(
-        F.array_distinct(spans), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
-    stripped = F.aggregate(longest_first, col, lambda acc, s: F.replace(acc, s["s"], F.lit("")))
+    empty = F.lit("")
+
+    def frame(opening: Column, raw: Column, kept: Column) -> Column:
+        return F.struct(opening.alias("opening"), raw.alias("raw"), kept.alias("kept"))
+
+    def append(stack: Column, raw: Column, kept: Column) -> Column:
+        top = F.element_at(stack, -1)
+        return F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(frame(top["opening"], F.concat(top["raw"], raw), F.concat(top["kept"], kept))))
+
+    def step(acc: Column, token: Column) -> Column:
+        stack, pairs = acc["stack"], acc["pairs"]
+        top = F.element_at(stack, -1)
+        closes = token.isin(")", "]") & (F.size(stack) > 1)
+        judged = (pairs < fv.BRACKET_PAIRS) & F.regexp_like(top["raw"], F.lit(_METADATA_BLOCK))
+        whole = F.concat(top["opening"], top["raw"], token)
+        left = F.when(judged, empty).otherwise(F.concat(top["opening"], top["kept"], token))
+        after = (F.when(token.isin("(", "["), F.concat(stack, F.array(frame(token, empty, empty))))
+                 .when(closes, append(F.slice(stack, F.lit(1), F.size(stack) - 1), whole, left))
+                 .otherwise(append(stack, token, token)))
+        return F.struct(after.alias("stack"), (pairs + closes.cast("int")).alias("pairs"))
+
+    tokens = F.regexp_extract_all(col, F.lit(r"(?s)[()\[\]]|[^()\[\]]+"), F.lit(0))
+    start = F.struct(F.array(frame(empty, empty, empty)).alias("stack"), F.lit(0).alias("pairs"))
+    stack = F.aggregate(tokens, start, step)["stack"]
+    stripped = F.aggregate(stack, empty, lambda acc, f: F.concat(acc, f["opening"], f["kept"]))
     return F.when(F.regexp_like(col, F.lit(r"[(\[]")), stripped).otherwise(col)
 
 
@@ -139,11 +150,12 @@ def validate_titles(df: DataFrame, title_col: str = "clean_title", year_col: str
 
 
 def natural_sort_key(col: Column) -> Column:
-    """Sort key that is case-insensitive and reads digit runs as numbers."""
+    """Sort key that is case-insensitive and reads digit runs, of any length, as numbers: the length goes first."""
     runs = F.regexp_extract_all(F.lower(col), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(runs, lambda r: F.when(
-        F.regexp_like(r, F.lit(r"^\d")), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), 20, "0")).otherwise(r))
-    return F.array_join(padded, "")
+    plain = F.transform(runs, lambda r: F.regexp_replace(r, r"^0+(?=\d)", ""))
+    sized = F.transform(plain, lambda r: F.when(
+        F.regexp_like(r, F.lit(r"^\d")), F.concat(F.lpad(F.length(r).cast("string"), 10, "0"), r)).otherwise(r))
+    return F.array_join(sized, "")
 
 
 def filter_noise_words(df: DataFrame, title_col: str, out: str = "plain_title") -> DataFrame:

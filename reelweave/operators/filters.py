@@ -50,7 +50,7 @@ def drop_divergent_links(links: DataFrame, link_col: str, type_col: str, title_c
     Titles are compared as they are, not normalised.
     """
     df = ln.add_link_keys(links, link_col)
-    df = rel.parse_releases(df, "display_name", type_col, prefix="n_")
+    df = rel.parse_distinct(df, "display_name", type_col, prefix="n_")
     named = (F.col("display_name") != "") & F.col("n_is_valid") & (F.col("n_clean_title") != "")
     alike = F.lit(False)
     for i, col in enumerate(title_cols):
@@ -99,14 +99,15 @@ def expire(df: DataFrame, ts_col: str, as_of: Column, days: int = 0, hours: int
 
 
 def split_request_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """``base:season:episode`` split from the right; -1 where there are no numbers."""
-    pattern = r"(?s)^(.*):([+-]?\d{1,9}):([+-]?\d{1,9})\z"
+    """``base:season:episode`` split from the right; -1 where there are no 64-bit numbers."""
+    pattern = r"(?s)^(.*):([+-]?\d+):([+-]?\d+)\z"
     df = df.withColumn("_id", F.regexp_replace(F.col(id_col), r"(?s)^.*?:pending:", ""))
-    split = F.regexp_like("_id", F.lit(pattern))
+    numbers = [F.regexp_extract("_id", pattern, g).try_cast("bigint") for g in (2, 3)]
+    split = numbers[0].isNotNull() & numbers[1].isNotNull()
     return df.withColumns({
         "base_id": F.when(split, F.regexp_extract("_id", pattern, 1)).otherwise(F.col("_id")),
-        "season": F.when(split, F.regexp_extract("_id", pattern, 2).try_cast("int")).otherwise(F.lit(-1)),
-        "episode": F.when(split, F.regexp_extract("_id", pattern, 3).try_cast("int")).otherwise(F.lit(-1)),
+        "season": F.when(split, numbers[0]).otherwise(F.lit(-1).cast("bigint")),
+        "episode": F.when(split, numbers[1]).otherwise(F.lit(-1).cast("bigint")),
     }).drop("_id")
 
 

@@ -132,7 +132,7 @@ def purge_preview(threads: DataFrame, streams: DataFrame, metadata: DataFrame, a
     ids = _title_ids(metadata, asked, id_col).withColumnRenamed("any_id", "_any")
     t = ids.join(threads, ids["_any"] == threads["tmdb_id"]).groupBy(id_col).agg(
         F.count("*").alias("threads"), F.min(F.struct("thread_hash", "clean_title"))["clean_title"].alias("title"))
-    s = streams.groupBy("tmdb_id").agg(F.count("*").alias("streams"))
+    s = streams.join(found.select("tmdb_id").distinct(), "tmdb_id", "left_semi").groupBy("tmdb_id").agg(F.count("*").alias("streams"))
     out = found.join(t, id_col, "left").join(s, "tmdb_id", "left")
     return out.select(id_col, "tmdb_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Unknown Linked Title")).alias("title"),
                       F.coalesce("threads", F.lit(0)).alias("threads"), F.coalesce("streams", F.lit(0)).alias("streams"))

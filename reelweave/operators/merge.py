@@ -65,7 +65,10 @@ def enroll_requests(watchlist: DataFrame, requests: DataFrame, threads: DataFram
     rest = requests.join(threads.select("thread_hash"), "thread_hash", "left_anti").select("thread_id", "req_url")
     by_id = rest.join(threads, "thread_id")
     cols = ["thread_hash", "raw_title", "clean_title", "type", "req_url", "url"]
-    hit = by_hash.select(*cols).unionByName(by_id.select(*cols)).dropDuplicates(["thread_hash"])
+    hit = by_hash.select(*cols).unionByName(by_id.select(*cols))
+    # of several requests for a thread, the one with an url and then the smallest
+    blank = F.coalesce("req_url", F.lit("")) == ""
+    hit = rk.first_seen(hit.withColumn("_blank", blank), ["thread_hash"], ["_blank", "req_url", "raw_title"]).drop("_blank")
     hit = hit.withColumn("url", F.coalesce(F.nullif("req_url", F.lit("")), F.col("url")))
     return enroll_series(watchlist, hit, as_of, force_active=True)
 
@@ -92,7 +95,9 @@ def archive_inactive(watchlist: DataFrame, as_of: Column, days: int = fv.WATCH_I
 
 
 def log_failures(failures: DataFrame, batch: DataFrame) -> DataFrame:
-    return rk.latest_by_key(failures.unionByName(batch), ["thread_hash"], ["last_attempt"])
+    """The batch replaces what is stored, whatever its time; of its own rows the latest counts."""
+    both = failures.withColumn("_batch", F.lit(0)).unionByName(batch.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
+    return rk.latest_by_key(both, ["thread_hash"], ["_batch", "last_attempt"]).drop("_batch")
 
 
 def clear_failures(failures: DataFrame, done: DataFrame) -> DataFrame:
@@ -113,5 +118,14 @@ def apply_custom_meta(threads: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def record_downloads(cache: DataFrame, infos: DataFrame, as_of: Column) -> DataFrame:
-    """Status, files and links of a download taken over; the touched row counts as checked now."""
-    return rk.latest_by_key(cache.unionByName(infos.withColumn("last_checked", as_of), allowMissingColumns=True), ["infohash"], ["last_checked"])
+    """The fields of ``infos`` taken over, the others kept; a touched row counts as checked now.
+
+    Of rows of one hash the greatest counts (by ``seq`` first, where there is one).
+    """
+    fields = [c for c in infos.columns if c not in ("infohash", "last_checked", "seq")]
+    order = ["seq", *fields] if "seq" in infos.columns else fields
+    new = rk.latest_by_key(infos, ["infohash"], order, fold=["infohash"]).select("infohash", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in fields])
+    old = cache.withColumn("infohash", F.lower("infohash")).join(new, "infohash", "full")
+    hit = F.coalesce("_hit", F.lit(False))
+    kept = {c: F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in fields if c in cache.columns}
+    return old.withColumns({**kept, "last_checked": F.when(hit, as_of).otherwise(F.col("last_checked"))}).select(*cache.columns)

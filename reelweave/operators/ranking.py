@@ -16,8 +16,13 @@ from reelweave.functions import text as tx
 from reelweave.operators import filters as fl
 
 
-def latest_by_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Last written row of every key; rows with an empty key part are skipped.  Combines map-side."""
+def latest_by_key(df: DataFrame, key: list[str], order: list[str], fold: list[str] = ()) -> DataFrame:
+    """Last written row of every key; rows with an empty key part are skipped.  Combines map-side.
+
+    Key parts in ``fold`` are compared and given in lower case.
+    """
+    for k in fold:
+        df = df.withColumn(k, F.lower(k))
     for k in key:
         df = df.filter(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
     rest = [c for c in df.columns if c not in key]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,9 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder
 

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelweave import fixed_values as fv
 from reelweave.functions import identity as idn
 from reelweave.functions import regex as rx
 
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""  # quoted either way or bare
 _ITEM = r"(?is)(<h4[^>]*\bipsDataItem_title\b[^>]*>.*?)(?=<h4[^>]*\bipsDataItem_title\b|\z)"
-_ANCHOR = r'(?is)<span[^>]*\bipsType_break\b[^>]*>\s*<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
-_TIME = r'(?is)<time\b[^>]*?\bdatetime="([^"]*)"'
-_HREF = r'(?is)<a\b[^>]*?\bhref="({scheme}[^"]*)"'
+_ANCHOR = rf"(?is)<span[^>]*\bipsType_break\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*{_VALUE}[^>]*>(.*?)</a>"
+_TIME = rf"(?is)<time\b[^>]*?\bdatetime\s*=\s*{_VALUE}"
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+def attribute(html: Column, pattern: str) -> Column:
+    """The value a pattern ending in ``_VALUE`` finds first, '' when there is none."""
+    return F.concat(*[F.regexp_extract(html, pattern, g) for g in (1, 2, 3)])
 
 
 def text_of(html: Column) -> Column:
@@ -60,9 +70,9 @@ def extract_listings(pages: DataFrame, default_origin: str = idn.DEFAULT_ORIGIN)
     rest = [c for c in pages.columns if c != "html"]
     items = pages.select(*rest, F.posexplode(F.regexp_extract_all("html", F.lit(_ITEM), F.lit(1))).alias("item_no", "_item"))
     items = items.withColumns({
-        "_href": F.replace(F.regexp_extract("_item", _ANCHOR, 1), F.lit("&amp;"), F.lit("&")),
-        "raw_title": text_of(F.regexp_extract("_item", _ANCHOR, 2)),
-        "_time": F.regexp_extract("_item", _TIME, 1),
+        "_href": F.replace(attribute(F.col("_item"), _ANCHOR), F.lit("&amp;"), F.lit("&")),
+        "raw_title": text_of(F.regexp_extract("_item", _ANCHOR, 4)),
+        "_time": attribute(F.col("_item"), _TIME),
     }).filter((F.col("_href") != "") & (F.col("raw_title") != ""))
     full = items.withColumn("_abs", absolute_url(F.col("_href"), F.col("url")))
     return full.select(*rest, "item_no", "raw_title", idn.canonical_url(F.col("_abs"), default_origin).alias("topic_url"),
@@ -77,20 +87,73 @@ def page_title(html: Column, site_suffix: str = "") -> Column:
     return F.coalesce(rx.non_empty(head), rx.non_empty(title), F.lit(fv.UNKNOWN_PAGE_TITLE))
 
 
-def container_of(html: Column) -> Column:
-    """Part of a page its links are read from: the first marked block, else the article, else all."""
-    pad = F.regexp_extract(html, r'(?is)(<div[^>]*\bipsPad\b.*)\z', 1)
-    normal = F.regexp_extract(html, r'(?is)(<div[^>]*\bipsType_normal\b.*)\z', 1)
-    article = F.regexp_extract(html, r"(?is)(<article\b.*?</article>)", 1)
-    return F.coalesce(rx.non_empty(pad), rx.non_empty(normal), rx.non_empty(article), html)
+class _Links(HTMLParser):
+    """Links of a scheme and the blocks that they stand in."""
+
+    def __init__(self, scheme: str):
+        super().__init__(convert_charrefs=True)
+        self.scheme = scheme
+        self.open: list[tuple[str, int, str]] = []  # tag, number, mark
+        self.blocks = 0
+        self.found: list[tuple[str, list[tuple[int, str]]]] = []  # link, enclosing blocks from the outside in
+
+    def handle_starttag(self, tag, attrs):
+        values = dict(attrs)
+        href = values.get("href") or ""
+        if tag == "a" and href.startswith(self.scheme):
+            self.found.append((href, [(n, mark) for _, n, mark in self.open]))
+        if tag not in _VOID:
+            classes = (values.get("class") or "").split()
+            mark = next((c for c in ("ipsPad", "ipsType_normal") if c in classes), "article" if tag == "article" else "")
+            self.blocks += 1
+            self.open.append((tag, self.blocks, mark))
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def inside(self) -> list[str]:
+        """Distinct links in page order within the closest marked block of the first link that has one, else two levels up."""
+        for mark in ("ipsPad", "ipsType_normal", "article"):
+            around = next((blocks for _, blocks in self.found if any(m == mark for _, m in blocks)), None)
+            if around is not None:
+                block = [n for n, m in around if m == mark][-1]
+                break
+        else:
+            if not self.found:
+                return []
+            around = self.found[0][1]
+            block = around[-2][0] if len(around) > 1 else around[-1][0] if around else None
+        return list(dict.fromkeys(link for link, blocks in self.found if block is None or any(n == block for n, _ in blocks)))
+
+
+def _links_of(scheme: str):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def links(html: pd.Series) -> pd.Series:
+        out = []
+        for page in html:
+            parser = _Links(scheme)
+            parser.feed(page or "")
+            parser.close()
+            out.append(parser.inside())
+        return pd.Series(out, dtype=object)
+    return links
 
 
 def extract_links(pages: DataFrame, scheme: str = "magnet:?", site_suffix: str = "", as_of: Column | None = None) -> DataFrame:
     """One row per page that holds links of a scheme: title, links in page order, date."""
-    literal = "".join("\\" + c if c in "?.+*()[]{}|^$\\" else c for c in scheme)
-    found = F.regexp_extract_all(container_of(F.col("html")), F.lit(_HREF.replace("{scheme}", literal)), F.lit(1))
-    links = F.array_distinct(F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))))
-    posted = F.try_to_timestamp(F.nullif(F.regexp_extract("html", _TIME, 1), F.lit("")))
+    # nested blocks need a real walk, so the links are read with a parser; pages without the scheme are left out before
+    pages = pages.filter(F.contains("html", F.lit(scheme)))
+    links = _links_of(scheme)(F.col("html"))
+    posted = F.try_to_timestamp(F.nullif(attribute(F.col("html"), _TIME), F.lit("")))
     rest = [c for c in pages.columns if c != "html"]
-    return pages.select(*rest, page_title(F.col("html"), site_suffix).alias("raw_title"), links.alias("magnet_uris"),
-                        (posted if as_of is None else F.coalesce(posted, as_of)).alias("posted_at")).filter(F.size("magnet_uris") > 0)
+    read = pages.select(*rest, page_title(F.col("html"), site_suffix).alias("raw_title"), links.alias("magnet_uris"),
+                        (posted if as_of is None else F.coalesce(posted, as_of)).alias("posted_at"))
+    return read.filter(F.size("magnet_uris") > 0)

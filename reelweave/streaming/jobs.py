@@ -43,6 +43,8 @@ def run_batches(stream: DataFrame, label: str, mode: str = "update") -> DataFram
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint")
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
+    if not versions:  # nothing had arrived
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{path}/version={max(versions)}")
 
 

@@ -328,7 +328,7 @@ LATEST = with_clause(STREAMS) + ", latest AS (SELECT * FROM fx_streams QUALIFY r
 
 
 def _latest(spark, d):
-    return rk.latest_by_key(fixture(spark, d, STREAMS), ["tmdb_id", "infohash"], ["seen_at", "link_id"])
+    return rk.latest_by_key(fixture(spark, d, STREAMS), ["tmdb_id", "infohash"], ["seen_at", "link_id"], fold=["infohash"])
 
 
 @query(f"{LATEST} SELECT tmdb_id, infohash, link_id, season, episode, episode_end, quality, language FROM latest")
