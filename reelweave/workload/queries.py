@@ -792,3 +792,67 @@ def ingest_decisions(spark, d):
         rows = ids if rows is None else rows.unionByName(ids)
     links = out["streams"].groupBy("thread_hash").agg(F.count("*").alias("links"))
     return rows.join(links, "thread_hash", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+
+
+# --- requests, merges and pages that nothing above reaches ----------------------
+
+_REQUESTS = f"{LATEST}, asked AS (SELECT tmdb_id || ':' || season || ':' || (link_id % 40) AS id FROM latest WHERE season IS NOT NULL UNION SELECT tmdb_id FROM latest UNION SELECT 'x:pending:' || tmdb_id || ':1:' || (4000000000 + link_id) FROM latest)"
+
+
+@query(f"""{_REQUESTS}, s AS (SELECT id, string_split(regexp_replace(id, '^.*?:pending:', ''), ':') AS p FROM asked)
+SELECT id, p[1] AS base_id, CASE WHEN len(p) = 3 THEN p[2]::BIGINT ELSE -1 END AS season, CASE WHEN len(p) = 3 THEN p[3]::BIGINT ELSE -1 END AS episode FROM s""")
+def request_ids(spark, d):
+    s = _latest(spark, d)
+    numbered = s.filter("season IS NOT NULL").select(F.concat_ws(":", "tmdb_id", "season", F.col("link_id") % 40).alias("id"))
+    waiting = s.select(F.concat(F.lit("x:pending:"), "tmdb_id", F.lit(":1:"), (F.lit(4000000000) + F.col("link_id")).cast("string")).alias("id"))
+    return fl.split_request_ids(numbered.union(s.select("tmdb_id")).union(waiting).distinct())
+
+
+_DOWN = f"""{LATEST}, c AS (SELECT infohash, max(link_id) AS note FROM latest WHERE link_id % 2 = 0 GROUP BY 1), n AS (SELECT infohash, max(link_id) AS link_id FROM latest WHERE link_id % 3 = 0 GROUP BY 1)"""
+
+
+@query(f"""{_DOWN} SELECT COALESCE(c.infohash, n.infohash) AS infohash, CASE WHEN n.infohash IS NOT NULL THEN 'downloaded' ELSE 'queued' END AS status, c.note,
+CASE WHEN n.infohash IS NOT NULL THEN {AS_OF} ELSE TIMESTAMP '2030-01-01 00:00:00' END AS last_checked FROM c FULL JOIN n USING (infohash)""")
+def record_downloads(spark, d):
+    s = _latest(spark, d)
+    cache = s.filter("link_id % 2 = 0").groupBy("infohash").agg(F.max("link_id").alias("note")).select(
+        "infohash", F.lit("queued").alias("status"), "note", F.expr("TIMESTAMP '2030-01-01 00:00:00'").alias("last_checked"))
+    infos = s.filter("link_id % 3 = 0").select(F.upper("infohash").alias("infohash"), F.lit("downloaded").alias("status"))
+    return mg.record_downloads(cache, infos, as_of()).withColumn("last_checked", F.col("last_checked").cast("timestamp_ntz"))
+
+
+@query(f"""{T}, o AS (SELECT thread_hash FROM th WHERE thread_id % 3 = 0), b AS (SELECT thread_hash FROM th WHERE thread_id % 2 = 0), x AS (SELECT thread_hash FROM th WHERE thread_id % 5 = 0)
+SELECT COALESCE(o.thread_hash, b.thread_hash) AS thread_hash, CASE WHEN b.thread_hash IS NOT NULL THEN 'new' ELSE 'old' END AS reason FROM o FULL JOIN b USING (thread_hash) WHERE COALESCE(o.thread_hash, b.thread_hash) NOT IN (SELECT thread_hash FROM x)""")
+def failures(spark, d):
+    t = _threads(spark, d)
+    old = t.filter("thread_id % 3 = 0").select("thread_hash", F.lit("old").alias("reason"), F.expr("TIMESTAMP '2030-01-01 00:00:00'").alias("last_attempt"))
+    new = t.filter("thread_id % 2 = 0").select("thread_hash", F.lit("new").alias("reason"), as_of().alias("last_attempt"))
+    return mg.clear_failures(mg.log_failures(old, new), t.filter("thread_id % 5 = 0")).select("thread_hash", "reason")
+
+
+@query(f"""{T} SELECT thread_hash, {AS_OF} - INTERVAL 1 HOUR * CAST(thread_id AS INT) AS last_attempt FROM th ORDER BY last_attempt DESC, thread_hash LIMIT 15 OFFSET 30""")
+def failed_page(spark, d):
+    rows = _threads(spark, d).select("thread_hash", (as_of() - F.make_dt_interval(F.lit(0), F.col("thread_id").cast("int"))).alias("last_attempt"))
+    return rk.failed(rows, offset=30).withColumn("last_attempt", F.col("last_attempt").cast("timestamp_ntz"))
+
+
+@query(f"""{T} SELECT thread_id, CASE WHEN thread_id % 2 = 0 THEN CASE WHEN thread_id % 4 = 0 THEN NULL ELSE 'p' || thread_id END ELSE 'old' END AS custom_poster,
+CASE WHEN thread_id % 2 = 0 THEN 'text' ELSE 'was' END AS custom_description FROM th""")
+def custom_meta(spark, d):
+    t = _threads(spark, d).select("thread_id", F.lit("old").alias("custom_poster"), F.lit("was").alias("custom_description"))
+    made = t.filter("thread_id % 2 = 0").select("thread_id", F.when(F.col("thread_id") % 4 == 0, " ").otherwise(F.concat(F.lit("p"), F.col("thread_id").cast("string"))).alias("poster"), F.lit("text").alias("description"))
+    return mg.apply_custom_meta(t, made)
+
+
+@query(f"""{LATEST} SELECT link_id, CASE WHEN contains(lower(quality), '2160') OR contains(lower(quality), '4k') THEN '4k' WHEN contains(quality, '1080') THEN '1080p' WHEN contains(quality, '720') THEN '720p' WHEN contains(quality, '480') THEN '480p' WHEN contains(quality, '360') THEN '360p' ELSE 'sd' END AS by_text,
+CASE link_id % 7 WHEN 0 THEN '4K' WHEN 1 THEN '1080p' WHEN 2 THEN '720p' WHEN 3 THEN '480p' WHEN 4 THEN '576p' WHEN 5 THEN '360p' ELSE 'sd' END AS by_height FROM latest""")
+def qualities(spark, d):
+    heights = F.get(F.array(*[F.lit(h) for h in (2160, 1080, 720, 480, 576, 360, 144)]), (F.col("link_id") % 7).cast("int"))
+    return _latest(spark, d).select("link_id", rel.quality_from_text(F.col("quality")).alias("by_text"), rel.quality_from_height(heights).alias("by_height"))
+
+
+@query(f"""{with_clause(THREADS, LINKS)} SELECT 'links' AS table_name, (SELECT count(*) FROM fx_links) AS source_rows, (SELECT count(*) FROM fx_links WHERE link_id % 2 = 0) AS target_rows, false AS agrees
+UNION ALL SELECT 'threads', (SELECT count(*) FROM fx_threads), (SELECT count(*) FROM fx_threads), true""")
+def reconcile(spark, d):
+    t, l = fixture(spark, d, THREADS), fixture(spark, d, LINKS)
+    return ag.reconcile_counts({"threads": t, "links": l}, {"threads": t, "links": l.filter("link_id % 2 = 0")})
