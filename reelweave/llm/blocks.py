@@ -6,12 +6,15 @@ least), so a task's memory depends on that and on its longest text only.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+ARROW_ROWS = 1_000
 _SEG = 1 << 20
 _U = np.uint64
 
@@ -53,6 +56,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of at most ``ARROW_ROWS`` rows for this session, if it has no smaller ones: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
+def trim() -> None:
+    """Give freed memory back: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of ``batch`` with their text bytes and offsets; a null text has no bytes."""
     col = batch.column(column)
@@ -72,6 +90,33 @@ def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK) -> Itera
         stop = min(max(stop, start + 1), len(col))
         yield batch.slice(start, stop - start), buf[off[start]:off[stop]], off[start:stop + 1] - off[start]
         start = stop
+    trim()
+
+
+def rebatch(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``rows`` rows (the last may have fewer), for work that pays by the call."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches of about ``limit`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:

@@ -25,11 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from reelweave.llm.blocks import text_blocks, trim
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG_WORD = 256
-WORDS_A_QUERY = 40_000
-CACHE = 800_000
-_CODECS: dict = {}
+WORDS_A_QUERY = 20_000
+CACHE = 200_000
+_VOCABULARIES: dict = {}
 
 _ENCODE = """
 WITH RECURSIVE s(w, t, done) AS (
@@ -58,6 +60,27 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def vocabulary(path: str | None) -> tuple[dict[bytes, int], pa.Table, pa.Table]:
+    """Ranks, mergeable pairs with rank and result, and tokens by id; made once a worker."""
+    if path not in _VOCABULARIES:
+        ranks = load_ranks(path)
+        left, right, rank = [], [], []
+        for token, r in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    rank.append(r)
+        # rank and place are compared as one number: the minimum is the leftmost of the least rank
+        pairs = pa.table({"pair": (np.array(left, np.int64) << 32) + np.array(right, np.int64), "n": np.array(rank, np.int64) << 16})
+        by_id = [""] * (max(ranks.values()) + 1)
+        for token, r in ranks.items():
+            by_id[r] = token.hex()
+        _VOCABULARIES[path] = ranks, pairs, pa.table({"i": np.arange(len(by_id)), "h": by_id})
+    return _VOCABULARIES[path]
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
@@ -66,30 +89,23 @@ class Codec:
         import public_tokenizers
         import regex
 
-        self.ranks = load_ranks(path)
+        self.ranks, pairs, by_id = vocabulary(path)
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.odd = regex.compile(r"^\s|\s$| \s|\s ").search
         self.cut = regex.compile(r"(?<=\S) (?=\S)").split
         self.bytes_to_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.cache: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        left, right, rank = [], [], []
-        for token, r in self.ranks.items():
-            for i in range(1, len(token)):
-                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if a is not None and b is not None:
-                    left.append(a)
-                    right.append(b)
-                    rank.append(r)
-        pairs = pa.table({"pair": (np.array(left, np.int64) << 32) + np.array(right, np.int64), "n": np.array(rank, np.int64) << 16})  # rank and place in one number: the minimum is the leftmost
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.con.register("pairs", pairs)
         self.con.execute("CREATE TABLE merges AS SELECT pair, n FROM pairs")
-        by_id = [""] * (max(self.ranks.values()) + 1)
-        for token, r in self.ranks.items():
-            by_id[r] = token.hex()
-        self.con.register("by_id", pa.table({"i": np.arange(len(by_id)), "h": by_id}))
+        self.con.register("by_id", by_id)
         self.con.execute("CREATE TABLE vocabulary AS SELECT list(h ORDER BY i) AS tokens FROM by_id")
 
+    def close(self) -> None:
+        self.con.close()
+        self.cache.clear()
+        trim()
+
     def pieces(self, text: str) -> list[str]:
         """Parts of the text that the pattern matches separately: it never matches across a single space between two
         other characters but from that space on."""
@@ -173,16 +189,7 @@ class Codec:
         return self.con.sql(_DECODE).to_arrow_table().column("b").to_pylist()
 
 
-def codec_of(path: str | None = None) -> Codec:
-    """The worker's codec; its cache serves the tasks that follow in the same worker."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
-
-
 def _slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    from reelweave.llm.blocks import text_blocks
-
     for part, _, _ in text_blocks(batch, "text", limit):
         yield part
 
@@ -196,15 +203,18 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int64()))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codec = codec_of(path)
-            for part in _slices(batch, 2 << 20):
-                ids = codec.encode(part.column("text").to_pylist())
-                back = codec.decode(ids)
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
-                if keep_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, schema=out)
+        codec = Codec(path)
+        try:
+            for batch in batches:
+                for part in _slices(batch, 2 << 20):
+                    ids = codec.encode(part.column("text").to_pylist())
+                    back = codec.decode(ids)
+                    columns = [part.column("doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
+                    if keep_ids:
+                        columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays(columns, schema=out)
+        finally:
+            codec.close()
 
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"{id_col} must be an integer column, not {kind}")
