@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelweave.llm.folders import Folder
 
+EDGES = 500_000
 _SCHEMA = "a bigint, b bigint"
 _ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -36,9 +37,11 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:  # a batch at a time: memory doesn't depend on the partition
-        a, b = union_find(batch.column("a").to_numpy(), batch.column("b").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_ARROW)
+    """Stars of what a task holds, about ``EDGES`` edges: batch by batch, then together."""
+    a = b = np.zeros(0, np.int64)
+    for batch in batches:
+        a, b = union_find(np.concatenate((a, batch.column("a").to_numpy())), np.concatenate((b, batch.column("b").to_numpy())))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_ARROW)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -56,15 +59,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, folder: Folder) -> DataFrame:
     """(a, b): b is the smallest node that a is connected to; nodes that are the smallest themselves have no row.
 
-    ``edges``: bigint columns a, b.  Union-find contracts the edges of each batch; what is left is contracted by
-    alternating stars, whose rounds grow with the logarithm of a component's size.  A node's edges are never gathered.
+    ``edges``: a written table with bigint columns a, b.  Union-find contracts ``EDGES`` edges a task; where there are
+    more, what is left is contracted by alternating stars, whose rounds grow with the logarithm of a component's size.
+    A node's edges are never gathered.
     """
-    edges = edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
-    now = folder.write(edges.mapInArrow(_contract, _SCHEMA).distinct(), "links")
+    parts = max(1, -(-edges.count() // EDGES))
+    now = folder.write(edges.select("a", "b").coalesce(parts).mapInArrow(_contract, _SCHEMA), "links")
     mark = None
-    while True:
-        fresh = folder.replace(_small_star(_large_star(now)), "links", now)
+    while parts > 1:
+        fresh = folder.replace(_small_star(_large_star(now.distinct())), "links", now)
         after = fresh.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == mark:
-            return fresh
+            break
         now, mark = fresh, after
+    return now

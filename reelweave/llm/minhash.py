@@ -5,10 +5,15 @@ signature's slots in a random order of each element, round by round; a slot
 keeps the least (round, draw).  A document's rounds stop once every slot has a
 value of an earlier round, so long texts need one round.  Documents of equal
 sets are one node.  Nodes that agree in all slots of a band meet in a bucket.
-A bucket links its members to its smallest one; members that this leaves in
-another component are compared across components, and what is verified on the
-full sets is a link.  No pair within a component is formed, and no bucket is
-capped.
+Each bucket has a head, the member that meets most others.  Members near the
+head (by estimate) are compared with it on the full sets; many copies of one
+text are linked that way without forming pairs of them.  What else can be
+linked is found without all pairs too: two members near a head of which one
+is not linked to it can only be linked if they share so much of their
+difference to it that one of the rarest elements of the other's difference is
+among it, so differences are joined by element.  Members far from their head
+are compared within the bucket.  Everything found is verified on the full
+sets.  No bucket is capped, and no pair that shares a bucket is lost.
 
 Defined results: a text without words (null and empty ones too) has an empty
 set, which is linked with nothing; a text of fewer words than a shingle has
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +48,8 @@ def _seed(n: int) -> np.uint64:
 BANDS, ROWS = 32, 4
 #: A pair whose signatures agree less than the threshold by so much isn't verified: over seven standard deviations of the estimate.
 SLACK = 0.25
+#: Agreement with a bucket's head from which a member is compared with it on the full sets.
+CLOSE = 0.25
 #: So many ids (8 bytes each) are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -145,38 +152,48 @@ def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((same - 1 / 256) / (1 - 1 / 256))  # a byte agrees by chance
 
 
-def _verify(words: int, percent: int):
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _compare(words: int, percent: int, differences: bool):
+    """Pairs (a, b) with whether they are linked; with ``differences`` also that of a to b: sizes and elements."""
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())]
+    extra = [("more", pa.int64()), ("less", pa.int64()), ("diff", pa.list_(pa.int64()))]
+    out = pa.schema([*fields, *extra] if differences else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, off in bl.text_blocks(batch, "text_a", 2 << 20):
+            batch = batch.append_column("k", pa.array(np.arange(batch.num_rows)))
+            for part, buf, off in bl.text_blocks(batch, "text_a"):
                 for piece, other, ooff in bl.text_blocks(part, "text_b", 8 << 20):
                     lo = piece.column("k").to_numpy() - part.column("k")[0].as_py()
                     x, nx = shingle_sets(buf, off, words)
                     y, ny = shingle_sets(other, ooff, words)
                     ex, ey = np.cumsum(nx), np.cumsum(ny)
-                    good = np.zeros(piece.num_rows, bool)
+                    linked, more, less, diff = [], [], [], []
                     for i, at in enumerate(lo.tolist()):
                         u, v = x[ex[at] - nx[at]:ex[at]], y[ey[i] - ny[i]:ey[i]]
-                        both = len(np.intersect1d(u, v, assume_unique=True))
-                        good[i] = both > 0 and 100 * both >= percent * (len(u) + len(v) - both)
-                    mask = pa.array(good)
-                    yield pa.RecordBatch.from_arrays([piece.column("a").filter(mask), piece.column("b").filter(mask)], schema=out)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(b.append_column("k", pa.array(np.arange(b.num_rows))) for b in batches)
-    return numbered
+                        if differences:
+                            a, r = np.setdiff1d(u, v, assume_unique=True), np.setdiff1d(v, u, assume_unique=True)
+                            both = len(u) - len(a)
+                            more.append(len(a))
+                            less.append(len(r))
+                            diff.append(np.concatenate((a | _U(1), r & ~_U(1))).view(np.int64))
+                        else:
+                            both = len(np.intersect1d(u, v, assume_unique=True))
+                        linked.append(both > 0 and 100 * both >= percent * (len(u) + len(v) - both))
+                    columns = [piece.column("a"), piece.column("b"), pa.array(linked, pa.bool_())]
+                    if differences:
+                        columns += [pa.array(v, kind) for v, (_, kind) in zip((more, less, diff), extra, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=out)
+    return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are as similar as asked."""
+def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int, differences: bool = False) -> DataFrame:
+    """The pairs (a, b) of doc_ids compared on their full shingle sets."""
     ids = pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b AS doc_id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").repartition("doc_id")
     left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a bigint, b bigint").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(words, percent, differences), "a bigint, b bigint, linked boolean" + ", more bigint, less bigint, diff array<bigint>" * differences)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -190,43 +207,77 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sets = folder.write(docs.mapInArrow(_signatures(words, bands, rows), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary, bands array<bigint>"), "sets")
     full = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one node, named by the smallest id
-    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    nodes = folder.write(full.join(classes.selectExpr("d1", "d2", "node AS doc_id"), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "n_shingles", "sig", "bands"), "nodes")
+    nodes = folder.write(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     member = nodes.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).filter("head <> tail").drop("tail")
-    members = folder.write(member.join(shared, "bucket"), "members")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = folder.write(member.join(shared, "bucket"), "met")
+    popular = met.groupBy("doc_id").agg(F.sum("n").alias("popular"))
+    heads = met.join(popular, "doc_id").groupBy("bucket").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("id"))).alias("h")).select("bucket", (-F.col("h.id")).alias("head"))
+    members = folder.write(met.select("doc_id", "bucket").join(heads, "bucket"), "members")
     small = nodes.selectExpr("doc_id", "n_shingles AS n", "sig")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the threshold and whose signatures agree nearly enough."""
+    def near(pairs: DataFrame, least: float, sized: bool) -> DataFrame:
+        """Pairs whose signatures agree enough and, if ``sized``, whose sizes allow a link."""
         x, y = small.toDF("a", "na", "sa"), small.toDF("b", "nb", "sb")
-        sized = pairs.distinct().join(x, "a").join(y, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        return sized.filter(_agreement("sa", "sb") >= percent / 100 - SLACK).select("a", "b")
-
-    # guess components from stars by estimate alone, to know which pairs can matter
-    stars = folder.write(likely(members.filter("doc_id <> head").selectExpr("doc_id AS a", "head AS b")), "stars")
-    links = tried = None
-    pairs = stars.union(_across(members, components(stars, folder), likely).join(stars, ["a", "b"], "left_anti"))
-    while True:
-        pairs = folder.write(pairs, "pairs")
-        found = folder.write(verified(docs, pairs, words, percent), "found")
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        roots = components(links, folder)
-        # a guess that didn't hold leaves members of a bucket in different components: compare those too
-        pairs = folder.write(_across(members, roots, likely).join(tried, ["a", "b"], "left_anti"), "more")
-        if pairs.isEmpty():
-            break
-    named = full.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).join(roots.selectExpr("a AS node", "b AS root"), "node", "left")
+        both = pairs.distinct().join(x, "a").join(y, "b")
+        if sized:
+            both = both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        return both.select("a", "b", "na", "nb", _agreement("sa", "sb").alias("near")).filter(F.col("near") >= least)
+
+    rays = members.filter("doc_id <> head").selectExpr("doc_id AS a", "head AS b")
+    rays = folder.write(near(rays, -1.0, False), "rays")
+    stars = folder.write(compared(docs, rays.filter(F.col("near") >= CLOSE), words, percent, True), "stars")
+    roots = components(folder.write(stars.filter("linked").select("a", "b"), "links"), folder)
+    found = near(_by_difference(stars.join(rays.select("a", "b", "na", "nb"), ["a", "b"]), percent).union(_far(members, rays, stars, roots, percent)), percent / 100 - SLACK, True)
+    found = folder.write(compared(docs, folder.write(found, "pairs"), words, percent).filter("linked").select("a", "b"), "found")
+    roots = components(stars.filter("linked").select("a", "b").union(found), folder)
+    classes = nodes.select("d1", "d2", F.col("doc_id").alias("node"))
+    named = full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).join(roots.selectExpr("a AS node", "b AS root"), "node", "left")
     named = named.groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     out = sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(members: DataFrame, roots: DataFrame, likely) -> DataFrame:
-    """Likely pairs of members of one bucket that are in different components."""
-    rooted = members.join(roots.selectExpr("a AS doc_id", "b AS root"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = rooted.join(mixed, "bucket")
-    return likely(open_.selectExpr("bucket", "doc_id AS a", "root AS ra").join(open_.selectExpr("bucket", "doc_id AS b", "root AS rb"), "bucket").filter("a > b AND ra <> rb").select("a", "b"))
+def _by_difference(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs near one head, one of them not linked to it, that can share enough of their differences to it.
+
+    With ``more`` elements that the head lacks, ``less`` that it has alone, and p = percent / 100, a link of x and y
+    takes (1 + p) * shared >= (p * more + less of x - (1 - p) * head's size) + (p * more + less of y), where the first
+    part is over 0 if x is not linked to the head.  So shared is over s = (p * more + less of y) / (1 + p), and x has one
+    of any (elements - s) of y's elements; the rarest ones are taken.
+    """
+    open_heads = stars.filter("NOT linked").select("b").distinct()
+    rays = stars.join(open_heads, "b", "left_semi").select("a", "b", "linked", (F.floor((F.col("more") * percent + F.col("less") * 100) / (100 + percent)) + 1).alias("least"), "diff", _similarity().alias("like"),
+        (F.col("more") * percent + F.col("less") * 100).alias("cost"), (F.col("nb") * (100 - percent)).alias("spare"))
+    carried = ["a", "b", "linked", "least", "like", "cost", "spare"]
+    each = rays.select(*carried, F.size("diff").alias("size"), F.explode("diff").alias("element"))
+    often = each.groupBy("b", "element").agg(F.count("*").alias("often"))
+    ordered = each.join(often, ["b", "element"]).groupBy(*carried, "size").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("elements"))
+    prefix = ordered.withColumn("keep", F.greatest(F.lit(0), F.col("size") - F.col("least") + 1).cast("int")).filter("keep > 0")
+    given = prefix.select("b", F.col("a").alias("y"), F.col("like").alias("ly"), F.col("cost").alias("cy"), "size", F.posexplode(F.slice("elements", F.lit(1), F.col("keep"))).alias("place", "e")).select("b", "y", "ly", "cy", (F.col("size") - F.col("place")).alias("left"), F.col("e.element").alias("element"))
+    asked = each.filter("NOT linked").select("b", F.col("a").alias("x"), F.col("like").alias("lx"), (F.col("cost") - F.col("spare")).alias("cx"), "element")
+    # at the first element that y's order has in common with x, what is left of y must be enough
+    enough = (100 + percent) * F.col("left") >= F.col("cx") + F.col("cy")
+    return asked.join(given, ["b", "element"]).filter((F.col("x") != F.col("y")) & enough & (F.abs(F.col("lx") - F.col("ly")) <= 1 - percent / 100 + 1e-9)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def _similarity() -> Column:
+    """Of a ray's ends, from the sizes and what they differ by."""
+    apart = F.col("more") + F.col("less")
+    return 1 - 2 * apart / (F.col("na") + F.col("nb") + apart)
+
+
+def _far(members: DataFrame, rays: DataFrame, stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket of which one is far from the head, in different components.
+
+    Distances (1 - similarity) obey the triangle inequality: two linked members' similarities to the head differ by
+    1 - percent / 100 at most, and by ``SLACK`` more where one is an estimate.
+    """
+    exact = stars.select("a", "b", "more", "less")
+    to_head = rays.join(exact, ["a", "b"], "left").select(F.col("a").alias("doc_id"), F.col("b").alias("head"), F.col("more").isNull().alias("far"), F.coalesce(_similarity(), "near").alias("like"))
+    rooted = members.join(roots.selectExpr("a AS doc_id", "b AS root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).join(to_head, ["doc_id", "head"])
+    far = rooted.filter("far").selectExpr("bucket", "doc_id AS x", "root AS rx", "like AS lx")
+    reach = 1 - percent / 100 + SLACK
+    pairs = far.join(rooted.selectExpr("bucket", "doc_id AS y", "root AS ry", "like AS ly"), "bucket").filter((F.col("rx") != F.col("ry")) & (F.col("x") != F.col("y")) & (F.abs(F.col("lx") - F.col("ly")) <= reach))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
