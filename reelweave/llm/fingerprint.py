@@ -31,10 +31,11 @@ from reelweave.llm.folders import Folder
 
 PIECE = 40
 CELLS = 8
-ROOM = 16
+ROOM = 64
 LARGER = 16
 ROUNDS = 4
-ROWS_A_BUCKET = 2_000
+#: A task adds up the cells of a bucket or a few; it should hold them in memory.
+ROWS_A_BUCKET = 1_000
 MOST_BUCKETS = 4_096
 _PATTERN = r"[^\n.!?]{1,%d}[^\s.!?]*[\s.!?]*|[\s.!?]+" % PIECE
 
@@ -77,7 +78,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     host = dict(zip(there, [*there[1:], there[0]], strict=True))
     move = F.element_at(F.create_map(*[F.lit(x) for pair in host.items() for x in pair]), F.col("bucket"))
     guests = first.select(move.alias("bucket"), "r.doc_id", "r.text", F.lit(True).alias("guest"))
-    rows = placed.select("bucket", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests)
+    rows = placed.select("bucket", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests).repartition(2 * len(there), "bucket")
     order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
     seen = rows.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
     return seen.filter(~F.col("guest")).select("bucket", "rn", "doc_id", "text", "next_text")
@@ -95,37 +96,50 @@ _USES = {0: ((0, 1), (1, 1), (2, 1)), 1: ((0, -1), (3, 1)), 2: ((1, -1),)}
 
 
 def _cells(rows: DataFrame, room: int) -> DataFrame:
-    """Cells that aren't zero of each row's sketches: bucket, rn, kind, j, cell, n, key, check; and the pieces of both sides."""
-    taken = rows.select("bucket", "rn", F.array(pieces(F.col("text")), pieces(F.col("edited")), pieces(F.col("next_text"))).alias("of"))
-    sized = taken.withColumn("both", F.array(F.size(F.col("of")[0]) + F.size(F.col("of")[1]), F.size(F.col("of")[0]) + F.size(F.col("of")[2]), F.lit(0), F.lit(0)))
-    each = sized.select("bucket", "rn", "both", F.posexplode("of").alias("version", "digests")).select("bucket", "rn", "both", "version", F.explode("digests").alias("digest"))
+    """Cells of each row's sketches: bucket, rn, kind, both (digests of both sides), at (table and cell), n, key, check."""
+    taken = rows.select("bucket", "rn", pieces(F.col("text")).alias("own"), pieces(F.col("edited")).alias("changed"), pieces(F.col("next_text")).alias("after"))
+    sized = taken.withColumn("both", F.array(F.size("own") + F.size("changed"), F.size("own") + F.size("after"), F.lit(0), F.lit(0)))
+    each = sized.select("bucket", "rn", "both", F.posexplode(F.array("own", "changed", "after")).alias("version", "digests")).select("bucket", "rn", "both", "version", F.explode("digests").alias("digest"))
     uses = F.lit(None)
     for version, kinds in _USES.items():
         uses = F.when(F.col("version") == version, F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("sign")) for k, s in kinds])).otherwise(uses)
     used = each.withColumn("use", F.explode(uses)).select("bucket", "rn", "digest", F.col("use.kind").alias("kind"), F.col("use.sign").alias("sign"), F.get("both", F.col("use.kind")).alias("both"))
-    cells = F.when(F.col("kind") >= 2, F.lit(CELLS)).otherwise(F.col("both") * room)
-    spread = used.withColumn("cells", cells).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    placed = spread.select("bucket", "rn", "kind", "both", "cells", "j", _place(F.col("j"), F.col("digest"), F.col("cells")).alias("cell"), "sign", "digest", _check(F.col("digest")).alias("c"))
-    added = placed.groupBy("bucket", "rn", "kind", "both", "cells", "j", "cell").agg(F.sum("sign").alias("n"), F.bit_xor("digest").alias("key"), F.bit_xor("c").alias("check"))
-    return added
+    spread = used.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    at = F.col("j") * _size(F.col("kind"), F.col("both"), room) + _place(F.col("j"), F.col("digest"), _size(F.col("kind"), F.col("both"), room))
+    placed = spread.select("bucket", "rn", "kind", "both", at.alias("at"), "sign", "digest", _check(F.col("digest")).alias("c"))
+    return placed.groupBy("bucket", "rn", "kind", "both", "at").agg(F.sum("sign").alias("n"), F.bit_xor("digest").alias("key"), F.bit_xor("c").alias("check"))
 
 
-def _peeled(cells: DataFrame) -> DataFrame:
-    """For each row and kind: differing digests, digests of both sides, whether all were recovered."""
+def _size(kind: Column, both: Column, room: int) -> Column:
+    """Cells of a table."""
+    return F.when(kind >= 2, F.lit(CELLS)).otherwise(both * room).cast("bigint")
+
+
+def _peeled(cells: DataFrame, room: int) -> DataFrame:
+    """For each row and kind: differing digests, digests of both sides, whether all were recovered; or the fingerprint."""
     pure = (F.abs("n") == 1) & (F.col("check") == _check(F.col("key")))
     zero = (F.col("n") == 0) & (F.col("key") == 0) & (F.col("check") == 0)
-    read = cells.withColumn("pure", pure)
-    cell = F.struct("j", "cell", "n", "key", "check")
-    met = read.groupBy("bucket", "rn", "kind", "both", "cells").agg(
-        F.collect_set(F.when(F.col("pure"), F.struct("key", "n"))).alias("found"),
-        F.collect_list(F.when(~F.col("pure") & ~zero, cell)).alias("rest"))
 
-    def take_out(acc: Column, cells_: Column) -> Column:
+    def tail(x: Column, digits: int) -> Column:
+        return F.lower(F.substring(F.concat(F.lit("0" * digits), F.hex(x)), -digits, digits))
+
+    written = F.concat(F.lower(F.lpad(F.hex("at"), 2, "0")), F.lit(":"), tail(F.col("n"), 4), tail(F.col("key"), 16), tail(F.col("check"), 8))
+    differs = F.col("kind") < 2
+    first = differs & (F.col("at") < _size(F.col("kind"), F.col("both"), room))  # the first table has every digest once
+    met = cells.groupBy("bucket", "rn", "kind", "both").agg(
+        F.bit_xor(F.when(first, F.col("key"))).alias("all_keys"), F.bit_xor(F.when(first, F.col("check"))).alias("all_checks"), F.sum(F.when(first, F.col("n"))).alias("all_n"),
+        F.collect_set(F.when(differs & pure, F.struct("key", "n"))).alias("found"),
+        F.collect_list(F.when(differs & ~pure & ~zero, F.struct("at", "n", "key", "check"))).alias("rest"),
+        F.array_join(F.sort_array(F.collect_list(F.when(~differs, written))), ",").alias("text"))
+    size = _size(F.col("kind"), F.col("both"), room)
+
+    def take_out(acc: Column) -> Column:
         """Take the digests found last out of the cells that weren't pure, and read those that now are."""
         def less(c: Column) -> Column:
-            here = F.filter(acc["new"], lambda f: _place(c["j"], f["key"], cells_) == c["cell"])
+            j = F.floor(c["at"] / size).cast("int")
+            here = F.filter(acc["new"], lambda f: j * size + _place(j, f["key"], size) == c["at"])
             return F.struct(
-                c["j"].alias("j"), c["cell"].alias("cell"), (c["n"] - F.aggregate(here, F.lit(0).cast("bigint"), lambda a, f: a + f["n"])).alias("n"),
+                c["at"].alias("at"), (c["n"] - F.aggregate(here, F.lit(0).cast("bigint"), lambda a, f: a + f["n"])).alias("n"),
                 F.aggregate(here, c["key"], lambda a, f: a.bitwiseXOR(f["key"])).alias("key"), F.aggregate(here, c["check"], lambda a, f: a.bitwiseXOR(_check(f["key"]))).alias("check"))
 
         left = F.filter(F.transform(acc["rest"], less), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
@@ -134,20 +148,15 @@ def _peeled(cells: DataFrame) -> DataFrame:
         return F.struct(F.filter(left, lambda c: ~is_pure(c)).alias("rest"), new.alias("new"), (acc["total"] + F.size(new)).alias("total"))
 
     start = F.struct(F.col("rest").alias("rest"), F.col("found").alias("new"), F.size("found").alias("total"))
-    end = F.when(F.size("rest") == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda acc, _: F.when((F.size(acc["rest"]) > 0) & (F.size(acc["new"]) > 0), take_out(acc, F.col("cells"))).otherwise(acc)))
-    peeled = met.withColumn("end", end)
-    return peeled.select("bucket", "rn", "kind", "both", F.col("end.total").alias("differ"), (F.size("end.rest") == 0).alias("whole"))
-
-
-def _written(cells: DataFrame) -> DataFrame:
-    """The fingerprints: kind 2 and 3 of each row, cells in order, in hexadecimal."""
-    def tail(x: Column, digits: int) -> Column:
-        return F.lower(F.lpad(F.substring(F.hex(x), -digits, digits), digits, "0"))
-
-    one = F.struct("j", "cell", F.concat(tail(F.col("n"), 4), tail(F.col("key"), 16), tail(F.col("check"), 8)).alias("hex"))
-    lists = cells.filter("kind >= 2").groupBy("bucket", "rn", "kind").agg(F.sort_array(F.collect_list(one)).alias("cells"))
-    text = F.array_join(F.transform("cells", lambda c: F.concat(F.lower(F.hex(c["j"] * CELLS + c["cell"])), F.lit(":"), c["hex"])), ",")
-    return lists.withColumn("text", text)
+    # where the digests read at once account for the whole first table, nothing is left to peel
+    sums = F.aggregate("found", F.struct(F.lit(0).cast("bigint").alias("keys"), F.lit(0).cast("bigint").alias("checks"), F.lit(0).cast("bigint").alias("n")),
+                       lambda a, f: F.struct(a["keys"].bitwiseXOR(f["key"]).alias("keys"), a["checks"].bitwiseXOR(_check(f["key"])).alias("checks"), (a["n"] + f["n"]).alias("n")))
+    none = F.lit(0).cast("bigint")
+    complete = sums == F.struct(F.coalesce("all_keys", none).alias("keys"), F.coalesce("all_checks", none).alias("checks"), F.coalesce("all_n", none).alias("n"))
+    peeled = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda acc, _: F.when((F.size(acc["rest"]) > 0) & (F.size(acc["new"]) > 0), take_out(acc)).otherwise(acc))
+    end = F.when(complete, F.struct(F.size("found").alias("total"), F.lit(True).alias("whole"))).otherwise(
+        F.transform(F.array(peeled), lambda e: F.struct(e["total"].alias("total"), (F.size(e["rest"]) == 0).alias("whole")))[0])
+    return met.withColumn("end", end).select("bucket", "rn", "kind", "both", F.col("end.total").alias("differ"), F.col("end.whole").alias("whole"), "text")
 
 
 def likenesses(docs: DataFrame) -> DataFrame:
@@ -157,17 +166,14 @@ def likenesses(docs: DataFrame) -> DataFrame:
     """
     folder = Folder(docs.sparkSession, "fingerprint")
     rows = _versions(docs)
-    cells = _cells(rows, ROOM)
-    peeled = _peeled(cells.filter("kind < 2")).select("bucket", "rn", "kind", "differ", "both", "whole", F.lit("").alias("text"))
-    prints = _written(cells).select("bucket", "rn", "kind", F.lit(0).alias("differ"), F.lit(0).alias("both"), F.lit(True).alias("whole"), "text")
-    done = folder.write(peeled.unionByName(prints), "sketches")
+    done = folder.write(_peeled(_cells(rows, ROOM), ROOM), "sketches")
     room, failed = ROOM, done.filter("NOT whole").select("bucket", "rn").distinct()
     done = done.filter("whole")
     while not failed.isEmpty():
         room *= LARGER
-        again = rows.join(failed, ["bucket", "rn"], "left_semi")
-        fresh = folder.write(_peeled(_cells(again, room).filter("kind < 2")).join(done.select("bucket", "rn", "kind"), ["bucket", "rn", "kind"], "left_anti"), "again")
-        done = done.unionByName(fresh.filter("whole").withColumn("text", F.lit("")).select(*done.columns))
+        again = _peeled(_cells(rows.join(failed, ["bucket", "rn"], "left_semi"), room), room)
+        fresh = folder.write(again.join(done.select("bucket", "rn", "kind"), ["bucket", "rn", "kind"], "left_anti"), "again")
+        done = done.unionByName(fresh.filter("whole"))
         failed = fresh.filter("NOT whole").select("bucket", "rn").distinct()
     kinds = done.groupBy("bucket", "rn").agg(*[F.max(F.when(F.col("kind") == k, 1 - F.col("differ") / F.col("both"))).alias(f"near{k}") for k in (0, 1)], *[F.max(F.when(F.col("kind") == k, F.col("text"))).alias(f"print{k}") for k in (2, 3)])
     light = rows.select("bucket", "rn", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
