@@ -35,7 +35,7 @@ ROOM = 64
 LARGER = 16
 ROUNDS = 4
 #: A task adds up the cells of a bucket or a few; it should hold them in memory.
-ROWS_A_BUCKET = 1_000
+ROWS_A_BUCKET = 500
 MOST_BUCKETS = 4_096
 _PATTERN = r"[^\n.!?]{1,%d}[^\s.!?]*[\s.!?]*|[\s.!?]+" % PIECE
 
