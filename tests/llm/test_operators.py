@@ -320,6 +320,13 @@ def test_spelling_is_a_probability():
     assert abs((10 ** model.spelling(flat, off)).sum() - 1) < 1e-3
 
 
+def test_spelling_sees_five_bytes_back():
+    rows = [b"xabcdy ", b"zabcdw "]
+    flat, off = np.frombuffer(b"".join(rows), np.uint8), np.array([0, 7, 14])
+    slots = lm.bits(flat, off)[0].reshape(lm.ORDERS, 2, 7, 8)
+    assert (slots[:4, 0, 5] == slots[:4, 1, 5])[:, 0].all() and slots[4, 0, 5, 0] != slots[4, 1, 5, 0]
+
+
 def test_language_id(spark, empty):
     rnd = random.Random(6)
     syllables = {"aa": ["ba", "bo", "lu", "mi"], "bb": ["xer", "qua", "zyt", "vok"], "cc": ["ñé", "ßa", "öü", "êx"]}
