@@ -312,6 +312,29 @@ def test_language_model_learns_what_text_it_reads(spark):
     assert len(held) > 10 and all(r["score"] > r["base_score"] for r in held)
 
 
+def test_language_model_knows_the_order_of_words(spark):
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(50)]
+    turns = [vocabulary[rnd.randrange(50):] for _ in range(200)]
+    texts = [" ".join((t + vocabulary)[:50]) for t in turns]
+    held = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 5 == 1][:10]
+    shuffled = vocabulary.copy()
+    rnd.shuffle(shuffled)
+    rows = list(enumerate(texts)) + [(i, " ".join(vocabulary if k % 2 else shuffled)) for k, i in enumerate(held)]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert min(got[i] for i in held[1::2]) > max(got[i] for i in held[::2]) + 10
+
+
+def test_long_rows_are_read_in_pieces(monkeypatch):
+    rnd = np.random.default_rng(4)
+    flat, off = rnd.integers(97, 105, 4000).astype(np.uint8), np.array([0, 3000, 3000, 3010, 4000])
+    n = rnd.poisson(3.0, (2, lm.ORDERS, lm.SLOTS)).astype(np.float32)
+    model = lm.packed(n[0], n[1], np.full((lm.ORDERS * lm.LEVELS, lm.ORDERS), 0.3))
+    whole = model.read(flat, off)
+    monkeypatch.setattr(lm, "STRETCH", 64 * lm.STEP)
+    assert np.abs(model.read(flat, off) - whole).max() < 1e-4
+
+
 def test_spelling_is_a_probability():
     n = np.random.default_rng(0).poisson(3.0, (2, lm.ORDERS, lm.SLOTS)).astype(np.float32)
     model = lm.packed(n[0], n[1], np.full((lm.ORDERS * lm.LEVELS, lm.ORDERS), 0.3))
