@@ -325,6 +325,16 @@ def test_language_model_knows_the_order_of_words(spark):
     assert min(got[i] for i in held[1::2]) > max(got[i] for i in held[::2]) + 10
 
 
+def test_language_model_tables_grow_with_the_contexts(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(97, 123, 40_000))) for _ in range(10)]
+    df = spark.createDataFrame([(2 * i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, class int")
+    pairs = len({t[i - 5:i + 1] for t in texts for i in range(5, len(t))})
+    model, _, _ = lm.train(df, 1)
+    used = [len(x) for x in model.packed]
+    assert used[-1] > lm.SLOTS and used[-1] >= 7 * pairs > 7 * 300_000 and used[0] < lm.SLOTS
+
+
 def test_long_rows_are_read_in_pieces(monkeypatch):
     rnd = np.random.default_rng(4)
     flat, off = rnd.integers(97, 105, 4000).astype(np.uint8), np.array([0, 3000, 3000, 3010, 4000])
