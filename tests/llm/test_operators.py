@@ -399,6 +399,16 @@ def test_pipeline(spark, docs, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == df.count()
 
 
+def test_pipeline_keeps_rows_without_id(spark):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, long), (None, "other words " * 9), (4, long), (9, long), (5, "")]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = cp.dedup_documents(spark, df, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((d or 0, t) for d, t in rows if d != 9)
+
+
 def test_entry_works_without_the_package():
     import __spark_entry__ as entry
 
