@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document or line has; a document left without any word goes."""
     small_batches(spark)
-    out = linededup.dedup_lines(docs.select(*COLUMNS))
+    out = linededup.dedup_lines(docs.select(*COLUMNS), exact_from=1)
     left = out.filter(F.expr(r"_removed = 0 OR rlike(text, '[^\x20\x09-\x0D]')"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 

@@ -409,6 +409,15 @@ def test_pipeline_keeps_rows_without_id(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((d or 0, t) for d, t in rows if d != 9)
 
 
+def test_pipeline_drops_repeats_of_short_lines(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "Les.\n今日はとても良い天気ですね\n\na b"), (2, "今日はとても良い天気ですね\n\nown line here\nLes.\na b\na c")]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in cp.dedup_lines(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: "\nown line here\na c"}
+
+
 def test_entry_works_without_the_package():
     import __spark_entry__ as entry
 
