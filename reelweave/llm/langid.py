@@ -7,9 +7,9 @@ id, so reruns agree.  The lower orders are continuation counts of the distinct
 grams.  The model is a sorted array of gram codes per order with one row of
 log-probabilities a gram, all languages side by side.  A document's score for
 a language is its mean log-probability a character over the whole text; the
-highest wins.  ``reject_below`` of a language is calibrated on labelled rows:
-a text is rejected if its mean lies further under the language's mean than
-any plausible text's, or if it has no letter.
+highest wins.  ``reject_below`` of a language is calibrated on all labelled rows:
+a text is rejected if its mean lies ``MARGIN`` times as far under the language's
+median as the ``LOW`` quantile does, or if it has no letter.
 
 Defined results: null, empty and letterless texts get ``und`` with score 0;
 so does every text if no labelled row exists.  Ties go to the language that
@@ -32,7 +32,7 @@ from reelweave.llm import blocks as bl
 
 ORDER = 4
 TRAIN_ROWS = 20_000
-CALIBRATION_ROWS = 2_000
+LOW = 0.01
 DISCOUNT = 0.75
 MARGIN = 3.0
 UNKNOWN = "und"
@@ -175,7 +175,7 @@ def _bounded(rows: DataFrame, limit: int, seed: int) -> DataFrame:
     return rows.filter(keep)
 
 
-def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Model of the languages in ``labelled`` (doc_id, text, lang); rows without text or lang teach nothing.
 
     What reaches the driver is the gram table of at most ``train_rows`` texts a language and two numbers a language.
@@ -191,10 +191,11 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: i
         own = table[table["lang"] == lang]
         counts.append((own["code"].to_numpy(np.int64).view(_U), own["n"].to_numpy(np.int64)))
     model = kneser_ney(counts, languages)
-    means = score(_bounded(rows, calibration_rows, 18), model, ["lang"]).filter("lang = lang_pred")
-    stats = means.groupBy("lang").agg(F.avg("mean_logp").alias("mean"), F.min("mean_logp").alias("low")).collect()
+    means = score(rows, model, ["lang"]).filter("lang = lang_pred")
+    stats = means.groupBy("lang").agg(F.percentile_approx("mean_logp", [0.5, LOW], 10_000).alias("q")).collect()
     for r in stats:
-        model.accept[languages.index(r["lang"])] = r["mean"] - MARGIN * max(r["mean"] - r["low"], 0.2)
+        middle, low = r["q"]
+        model.accept[languages.index(r["lang"])] = middle - MARGIN * max(middle - low, 0.2)
     return model
 
 

@@ -418,6 +418,18 @@ def test_pipeline_drops_repeats_of_short_lines(spark):
     assert got == {1: rows[0][1], 2: "\nown line here\na c"}
 
 
+def test_language_id_rejects_junk_despite_a_bad_label(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join("".join(rnd.choice(["ba", "bo", "lu", "mi"]) for _ in range(rnd.randrange(1, 4))) for _ in range(30)), "aa") for i in range(400)]
+    rows.append((900, " ".join("".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(9)) for _ in range(30)), "aa"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(df)
+    assert abs(model.accept[0] - langid.train(df.filter("doc_id < 900")).accept[0]) < 0.5
+    tried = [(0, rows[3][1]), (1, " ".join("".join(rnd.choice("qxzjkvw") for _ in range(7)) for _ in range(30))), (2, "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(300)))]
+    got = {r["doc_id"]: r["accepted"] for r in langid.score(spark.createDataFrame(tried, "doc_id bigint, text string"), model).collect()}
+    assert got == {0: True, 1: False, 2: False}
+
+
 def test_entry_works_without_the_package():
     import __spark_entry__ as entry
 
