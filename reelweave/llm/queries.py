@@ -192,3 +192,84 @@ def op5_fingerprint(spark, d):
     from reelweave.llm import fingerprint
 
     return fingerprint.likenesses(table(spark, d, "documents"))
+
+
+_OP12 = r"""
+WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split_ AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+site AS (SELECT DISTINCT host, path FROM split_),
+hit AS (SELECT host, path, arg_max({'r': rh || rp, 'v': v}, len(rh || rp)) AS best FROM site JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
+SELECT s.page_id, s.host, s.path, h.best.r AS rule, coalesce(h.best.v, 'allow') AS verdict FROM split_ s LEFT JOIN hit h USING (host, path)
+"""
+
+
+@query(_OP12)
+def op12_urlfilter(spark, d):
+    from reelweave.llm import urlfilter
+
+    rules = spark.sql("SELECT * FROM VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS t(host, path, verdict)")
+    return urlfilter.judge(table(spark, d, "pages"), rules, keep=["page_id"])
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bytes_ = f"list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)"
+    one = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: {one}))"
+
+
+_NEXT_ROLE = "CASE {} WHEN 'u' THEN 'a' ELSE 'u' END"
+_FULL_ROLE = "CASE {} WHEN 'a' THEN 'assistant' ELSE 'user' END"
+_OP11 = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE kind <> 0),
+ordered AS MATERIALIZED (SELECT *, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, ini, i,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM ordered),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+step(conv_id, i, st, best) AS (
+  SELECT conv_id, 0::BIGINT, 'n', {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} FROM ids
+  UNION ALL
+  SELECT conv_id, i, st, min(best) FROM (
+    SELECT conv_id, i, m.st AS st, {{'c': c0 + m.c, 'a': a0 || m.a, 'o': list_concat(o0, m.o)}} AS best FROM (
+      SELECT conv_id, i, c0, a0, o0, unnest([
+          {{'ok': true, 'st': st0, 'c': 2::BIGINT, 'a': 'D', 'o': []::VARCHAR[]}},
+          {{'ok': fault IN ('', 't') AND ((st0 = 'n' AND ini IN ('s', 'u')) OR (st0 = 's' AND ini = 'u') OR (st0 = 'u' AND ini = 'a') OR (st0 = 'a' AND ini = 'u')),
+            'st': ini, 'c': more, 'a': 'K', 'o': [role || ':' || text]}},
+          {{'ok': fault IN ('', 't'), 'st': {_NEXT_ROLE.format('st0')}, 'c': 1 + more, 'a': 'R', 'o': [{_FULL_ROLE.format('(' + _NEXT_ROLE.format('st0') + ')')} || ':' || text]}}]) AS m
+      FROM (
+        SELECT r.conv_id, r.i, r.role, r.text, r.ini, r.fault, CASE r.fault WHEN 't' THEN 5 ELSE 0 END::BIGINT AS more,
+               p.st AS st0, s.best.c + p.c AS c0, s.best.a || p.a AS a0, list_concat(s.best.o, p.o) AS o0
+        FROM step s JOIN judged r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1,
+             LATERAL (SELECT unnest([{{'st': s.st, 'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}},
+                                     {{'st': {_NEXT_ROLE.format('s.st')}, 'c': 5::BIGINT, 'a': 'I', 'o': [{_FULL_ROLE.format('(' + _NEXT_ROLE.format('s.st') + ')')} || ':']}}]) AS p))) WHERE m.ok)
+  GROUP BY conv_id, i, st),
+size_ AS (SELECT i.conv_id, coalesce(max(j.i), 0) AS n FROM ids i LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM i.conv_id GROUP BY i.conv_id),
+ended AS (
+  SELECT s.conv_id, min(CASE s.st WHEN 'u' THEN {{'c': s.best.c + 5, 'a': s.best.a || 'I', 'o': list_append(s.best.o, 'assistant:')}} ELSE s.best END) AS best
+  FROM step s JOIN size_ z ON z.conv_id IS NOT DISTINCT FROM s.conv_id AND z.n = s.i WHERE s.st <> 's' GROUP BY s.conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM judged) GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       e.best.c AS cost, e.best.a AS audit, sha256(array_to_string(e.best.o, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query(_OP11)
+def op11_structure(spark, d):
+    from reelweave.llm import structure
+
+    rows = table(spark, d, "conversations")
+    return structure.digests(structure.damage(rows), rows)
