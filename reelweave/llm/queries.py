@@ -273,3 +273,34 @@ def op11_structure(spark, d):
 
     rows = table(spark, d, "conversations")
     return structure.digests(structure.damage(rows), rows)
+
+
+_OP13 = rf"""
+WITH own AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k FROM conversations WHERE conv_id IS NOT NULL),
+ids AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+rebuilt AS (
+  SELECT i.conv_id, 0 AS part, k, role, text FROM ids i JOIN own o ON o.conv_id = i.base AND o.k <= i.h
+  UNION ALL SELECT i.conv_id, 1, k, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.k > i.h),
+seq AS MATERIALIZED (SELECT i.conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY part, k) FILTER (k IS NOT NULL), []) AS s FROM ids i LEFT JOIN rebuilt r USING (conv_id) GROUP BY i.conv_id),
+prefix AS MATERIALIZED (SELECT conv_id, d, md5(s[1:d]::VARCHAR) AS p, md5(s[1:d - 1]::VARCHAR) AS up, s[d].t AS last, len(s) = d AS ended FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM seq)),
+node AS MATERIALIZED (
+  SELECT d, p, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n,
+         CASE WHEN d = 0 THEN 0 ELSE len({_WORDS.format("any_value(last)")}) END AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends FROM prefix GROUP BY d, p),
+child AS MATERIALIZED (SELECT d - 1 AS d, up AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY d, up),
+full_ AS MATERIALIZED (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (d, p)),
+-- a node's subtree: nodes whose smallest member begins with it
+below AS (
+  SELECT a.d, a.p, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n - 1) * b.words)::BIGINT AS saved
+  FROM full_ b JOIN prefix x ON x.conv_id = b.conv_id AND x.d <= b.d JOIN full_ a ON a.d = x.d AND a.p = x.p GROUP BY a.d, a.p)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved AS saved_tokens, f.ends AS ends_sha256
+FROM full_ f JOIN below USING (d, p) LEFT JOIN full_ u ON u.d = f.d - 1 AND u.p = f.up
+"""
+
+
+@query(_OP13)
+def op13_trie(spark, d):
+    from reelweave.llm import trie
+
+    rows, ids = trie.grafted(table(spark, d, "conversations"))
+    return trie.trie(rows, ids)

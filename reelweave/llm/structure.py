@@ -182,7 +182,8 @@ def audits(rows: DataFrame) -> DataFrame:
         F.array_join(row["letter"], "").alias("letters"), F.size(F.collect_set("turn")).cast("bigint").alias("turns"), F.min("turn").alias("low"), F.max("turn").alias("high"))
     wide = "decimal(38,0)"
     gaps = F.max("high").cast(wide) - F.min("low").cast(wide) + 1 - F.sum("turns")
-    whole = chunks.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("chunk", "letters")))["letters"], "").alias("letters"),
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps the small table spread for the search
+    whole = chunks.repartition(parts, "conv_id").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("chunk", "letters")))["letters"], "").alias("letters"),
                                          F.coalesce(gaps.try_cast("bigint"), F.lit(0)).alias("gaps"))
     written = Folder(rows.sparkSession, "structure").write(whole, "letters")
     found = written.select("conv_id", "letters").mapInArrow(_audit, "conv_id bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string")
