@@ -25,13 +25,6 @@ def read_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[D
             rows.filter(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("raw")))
 
 
-def write_entity(df: DataFrame, path: str, partition_by: list[str] = ()) -> str:
-    """New version of a table in its own folder; readers switch once it is complete."""
-    version = f"{path}/version={df.sparkSession.sql('SELECT uuid()').first()[0]}"
-    df.write.partitionBy(*partition_by).parquet(version)
-    return version
-
-
 def choose_load_mode(index: DataFrame, force: bool = False) -> str:
     """``incremental`` once more than 50 catalogued rows are linked, unless forced."""
     rows = index.filter((F.col("status") == fv.LINKED) & (F.coalesce("catalog", F.lit("")) != "")).limit(51).count()

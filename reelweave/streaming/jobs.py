@@ -1,51 +1,43 @@
 """Incremental twins of the batch jobs on Structured Streaming.
 
-Sinks and checkpoints live in the shared folder the session names, so a query
-restarts on any driver.
+A job's table and checkpoint are named by its caller; run again with the same
+names, also on another driver, it goes on where it stopped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelweave.session import new_folder
+from reelweave.operators import ranking as rk
 from reelweave.sources import pages as pg
+from reelweave.sources.store import Store
 
 
-def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None) -> DataFrame:
-    """Process all that is available into a Parquet table and read it."""
-    spark = stream.sparkSession
-    path = new_folder(spark, label)
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Process all that is available into the Parquet table ``path`` and read it; the checkpoint stands beside it."""
     q = (stream.writeStream.format("parquet").option("path", path)
-         .option("checkpointLocation", checkpoint or f"{path}-checkpoint").trigger(availableNow=True).start())
+         .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
-    """Process all that is available, each micro-batch written as one version; the last is read.
+def run_keyed(stream: DataFrame, store: Store, name: str, key: list[str], order: list[str] = (), mode: str = "update") -> DataFrame:
+    """Process all that is available; rows of a batch replace those of their key in the stored table ``name``.
 
-    A repeated batch overwrites its own version, so a restart does not count twice.
+    Of several rows of a key in one batch the greatest by ``order`` counts.  The table and the batch number are committed together, so a batch that runs again changes nothing.
     """
-    spark = stream.sparkSession
-    path = new_folder(spark, label)
-    versions: list[int] = []
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        versions.append(batch_id)
+        old = store.read(name, schema=batch.schema)
+        if order:
+            batch = rk.latest_by_key(batch, key, list(order)).select(*batch.columns)
+        merged = old.join(batch.select(*key).distinct(), key, "left_anti").unionByName(batch)
+        store.commit({name: merged}, (name, batch_id))
 
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint")
+    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{store.root}/checkpoints/{name}")
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    if not versions:  # nothing had arrived
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/version={max(versions)}")
+    return store.read(name, schema=stream.schema)
 
 
 def stream_first_seen(stream: DataFrame, key: list[str], ts: str, keep: str) -> DataFrame:
@@ -54,32 +46,11 @@ def stream_first_seen(stream: DataFrame, key: list[str], ts: str, keep: str) ->
 
 
 def stream_status_counts(stream: DataFrame, ts: str, by: str, size: str, late: str = "1 day") -> DataFrame:
+    """Counts by window; in update mode a window's count goes once the watermark has passed it."""
     counts = stream.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), by).agg(F.count("*").alias("n"))
     return counts.select(F.col("w.start").alias("day"), by, "n")
 
 
-def stream_rate_limit(stream: DataFrame, key: str, ts: str, event_id: str, n: int, seconds: int) -> DataFrame:
-    """``admitted`` per event; a key's state is the times of at most ``n`` admitted events."""
-    types = dict(stream.dtypes)
-    out = f"{key} {types[key]}, {event_id} {types[event_id]}, admitted boolean"
-    window = seconds * 1_000_000
-
-    def admit(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["_us", event_id])
-        flags = []
-        for us in rows["_us"]:
-            kept = [t for t in kept if t > us - window]
-            flags.append(len(kept) < n)
-            if flags[-1]:
-                kept.append(int(us))
-        state.update((kept,))
-        yield pd.DataFrame({key: rows[key], event_id: rows[event_id], "admitted": flags})
-
-    timed = stream.select(key, event_id, F.unix_micros(ts).alias("_us"))
-    return timed.groupBy(key).applyInPandasWithState(admit, out, "kept array<bigint>", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_pages(stream: DataFrame, label: str) -> DataFrame:
+def stream_pages(stream: DataFrame, path: str) -> DataFrame:
     """New pages that are no block pages, stored as they arrive."""
-    return run_to_table(pg.flag_blocked_pages(stream).filter(~F.col("is_blocked")).drop("is_blocked"), label)
+    return run_to_table(pg.flag_blocked_pages(stream).filter(~F.col("is_blocked")).drop("is_blocked"), path)

@@ -7,6 +7,7 @@ driven by the watermark of the events; no clock is read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,35 +21,52 @@ from reelweave import fixed_values as fv
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _stateful(stream: DataFrame, key: list[str], ts: str, late: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+#: Keys and rows pass through state as JSON text, so that nulls and wide numbers come back as they were.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def _packed(columns: list[str]) -> Column:
+    return F.to_json(F.struct(*columns), _JSON)
+
+
+def _unpacked(stream: DataFrame, column: str, columns: list[str]) -> Column:
+    return F.from_json(column, StructType([stream.schema[c] for c in columns]), _JSON)
+
+
+def _stateful(stream: DataFrame, key: list[str], carry: list[str], ts: str, late: str, processor: StatefulProcessor, out: str, **more: Column) -> DataFrame:
+    """``out`` columns of the processor, and key and carried columns unpacked; rows without time can't be placed and are left out."""
     stream.sparkSession.conf.set(*STATE_STORE)  # timers and state variables need it
-    return stream.withWatermark(ts, late).groupBy(*key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    rows = stream.filter(F.col(ts).isNotNull()).select(
+        _packed(key).alias("key_json"), _packed(carry).alias("row_json"), ts, F.unix_micros(ts).alias("at_us"), *[c.alias(n) for n, c in more.items()])
+    found = rows.withWatermark(ts, late).groupBy("key_json").transformWithStateInPandas(processor, f"key_json string, row_json string, {out}", "Append", "EventTime")
+    names = [f.name for f in found.schema][2:]
+    opened = found.select(_unpacked(stream, "key_json", key).alias("k"), _unpacked(stream, "row_json", carry).alias("r"), *names)
+    return opened.select("k.*", "r.*", *names)
 
 
 class _Admission(StatefulProcessor):
     """Events wait in slots of time; a slot is decided in order once the watermark has passed it."""
 
-    def __init__(self, key: str, event_id: str, id_type: str, n: int, window_us: int, slot_ms: int):
-        self.key, self.event_id, self.id_type = key, event_id, id_type
+    def __init__(self, n: int, window_us: int, slot_ms: int):
         self.n, self.window, self.slot = n, window_us, slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot bigint", f"times array<bigint>, ids array<{self.id_type}>")
+        self.waiting = handle.getMapState("waiting", "slot bigint", "times array<bigint>, events array<string>")
         self.admitted = handle.getListState("admitted", "us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             for slot, some in batch.groupby(batch["at_us"] // 1000 // self.slot):
                 slot = int(slot)
-                events = set(zip(map(int, some["at_us"]), some[self.event_id].tolist(), strict=True))
+                events = set(zip(map(int, some["at_us"]), some["row_json"], strict=True))
                 if self.waiting.containsKey((slot,)):
                     events |= set(zip(*self.waiting.getValue((slot,)), strict=True))
                 else:
                     self.handle.registerTimer((slot + 1) * self.slot)
-                times, ids = zip(*events, strict=True)
-                self.waiting.updateValue((slot,), (list(times), list(ids)))
-        yield pd.DataFrame({self.key: [], self.event_id: [], "admitted": []})
+                times, texts = zip(*events, strict=True)
+                self.waiting.updateValue((slot,), (list(times), list(texts)))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -56,10 +74,10 @@ class _Admission(StatefulProcessor):
         slot = (now // self.slot - 1,)
         out = []
         if now % self.slot == 0 and self.waiting.containsKey(slot):
-            for us, event in sorted(zip(*self.waiting.getValue(slot), strict=True)):
+            for us, event in sorted(zip(*self.waiting.getValue(slot), strict=True), key=lambda e: (e[0], [(v is not None, v) for v in json.loads(e[1]).values()])):
                 kept = [t for t in kept if t > us - self.window]
-                out.append((event, len(kept) < self.n))
-                if out[-1][1]:
+                out.append((key[0], event, len(kept) < self.n))
+                if out[-1][2]:
                     kept.append(us)
             self.waiting.removeKey(slot)
         # times that no later event can meet go: those behind this slot, and all once nothing waits and the watermark is past the window
@@ -70,7 +88,7 @@ class _Admission(StatefulProcessor):
             self.handle.registerTimer((max(kept) + self.window) // 1000 + 1)
         else:
             self.admitted.clear()
-        yield pd.DataFrame({self.key: [key[0]] * len(out), self.event_id: [e for e, _ in out], "admitted": [a for _, a in out]})
+        return iter([pd.DataFrame(out, columns=["key_json", "row_json", "admitted"])] if out else ())
 
 
 def stream_rate_limit(stream: DataFrame, key: str, ts: str, event_id: str, n: int = fv.RATE_LIMIT_EVENTS, seconds: int = fv.RATE_LIMIT_SECONDS, late: str = "1 hour") -> DataFrame:
@@ -79,66 +97,58 @@ def stream_rate_limit(stream: DataFrame, key: str, ts: str, event_id: str, n: in
     Events may come in any order within ``late``; an event that comes again
     counts once.  They are decided a slot (a sixtieth of the window) at a time.
     """
-    types = dict(stream.dtypes)
-    timed = stream.select(key, event_id, ts, F.unix_micros(ts).alias("at_us"))
-    slot = max(1000, seconds * 1000 // 60)
-    processor = _Admission(key, event_id, types[event_id], n, seconds * 1_000_000, slot)
-    return _stateful(timed, [key], ts, late, processor, f"{key} {types[key]}, {event_id} {types[event_id]}, admitted boolean")
+    processor = _Admission(n, seconds * 1_000_000, max(1000, seconds * 1000 // 60))
+    return _stateful(stream, [key], [event_id], ts, late, processor, "admitted boolean")
 
 
 class _Rearmed(StatefulProcessor):
     """The latest row of a key, and a timer that every newer row sets back.
 
-    ``life`` is the column of milliseconds a row lives.  Newer rows are emitted
-    with ``event`` false, a row whose time is up with ``event`` true.
+    ``life_ms`` is how long a row lives, under 0 for ever; those are no state.
+    Newer rows are emitted as they come, and once more as ``ended`` when their
+    time is up.
     """
 
-    def __init__(self, key: list[str], fields: list[str], state: str):
-        self.key, self.fields, self.state = key, fields, state
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", self.state)
+        self.latest = handle.getValueState("latest", "at_us bigint, row_json string, life_ms bigint")
+
+    @staticmethod
+    def _due(row: tuple) -> int:
+        return row[0] // 1000 + row[2] + 1
 
-    def _frame(self, key, row, ended: bool) -> pd.DataFrame:
-        values = dict(zip(self.key, key, strict=True)) | dict(zip(self.fields, row, strict=True))
-        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in values.items()} | {"ended": [ended]})
+    @staticmethod
+    def _frames(key, row: tuple, ended: bool) -> Iterator[pd.DataFrame]:
+        return iter([pd.DataFrame([(key[0], row[1], row[0], ended)], columns=["key_json", "row_json", "at_us", "ended"])])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.latest.get() if self.latest.exists() else None
-        best = tuple(old) if old else None
-        at = self.fields.index("at_us")
+        old = tuple(self.latest.get()) if self.latest.exists() else None
+        best = old
         for batch in rows:
-            values = batch[self.fields].astype(object).where(batch[self.fields].notna(), None)
-            best = max([*map(tuple, values.itertuples(index=False, name=None)), *([best] if best else [])],
-                       key=lambda r: (r[at], [(v is not None, str(v)) for v in r]))
-        if old is not None and tuple(old) == best:
-            return
-        life = self.fields.index("life_ms")
-        if old is not None and old[life] is not None:
-            self.handle.deleteTimer(int(old[at]) // 1000 + int(old[life]) + 1)
-        if best[life] is not None:
+            new = max(zip(map(int, batch["at_us"]), batch["row_json"], map(int, batch["life_ms"]), strict=True))
+            best = new if best is None else max(best, new)
+        if best == old:
+            return iter(())
+        if old:
+            self.handle.deleteTimer(self._due(old))
+        if best[2] >= 0:
             self.latest.update(best)
-            self.handle.registerTimer(int(best[at]) // 1000 + int(best[life]) + 1)
-        elif old is not None:
+            self.handle.registerTimer(self._due(best))
+        else:
             self.latest.clear()
-        yield self._frame(key, best, False)
+        return self._frames(key, best, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.latest.exists():
-            row = tuple(self.latest.get())
-            self.latest.clear()
-            yield self._frame(key, row, True)
+        if not self.latest.exists():
+            return iter(())
+        row = tuple(self.latest.get())
+        self.latest.clear()
+        return self._frames(key, row, True)
 
 
 def _rearmed(stream: DataFrame, key: list[str], ts: str, life_ms: Column, late: str, carry: list[str]) -> DataFrame:
-    rows = stream.select(*key, ts, *carry, F.unix_micros(ts).alias("at_us"), life_ms.cast("bigint").alias("life_ms"))
-    schema = StructType(rows.schema.fields)
-    fields = [*carry, "at_us", "life_ms"]
-    state = ", ".join(f"{f} {schema[f].dataType.simpleString()}" for f in fields)
-    out = ", ".join(f"{f} {schema[f].dataType.simpleString()}" for f in [*key, *fields]) + ", ended boolean"
-    ended = _stateful(rows, key, ts, late, _Rearmed(key, fields, state), out)
-    return ended.select(*key, *carry, F.timestamp_micros("at_us").alias(ts), "ended")
+    out = _stateful(stream, key, carry, ts, late, _Rearmed(), "at_us bigint, ended boolean", life_ms=F.coalesce(life_ms, F.lit(-1)).cast("bigint"))
+    return out.select(*key, *carry, F.timestamp_micros("at_us").alias(ts), "ended")
 
 
 _DAY_MS = 86_400_000

@@ -669,7 +669,7 @@ def ttl_expire(spark, d):
     return fl.expire(spark.table("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", F.expr("TIMESTAMP '2024-01-20 00:00:00'"), days=7)[0].select("event_id")
 
 
-@query()
+@query(sq.admitted("events", "user_id", "ts", "event_id", 8, 43200))
 def rate_limited(spark, d):
     tables(spark, d)
     e = spark.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -738,43 +738,6 @@ def page_magnets(spark, d):
     return pg.extract_links(pages).select("thread_id", "raw_title", F.explode("magnet_uris").alias("magnet"))
 
 
-# --- streams -----------------------------------------------------------------
-
-def _event_stream(spark, d):
-    tables(spark, d)
-    raw = spark.readStream.schema(spark.table("events").schema).parquet(f"{d}/events.parque[t]")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-@query("SELECT DISTINCT user_id, event_type FROM events")
-def stream_first_seen(spark, d):
-    from reelweave.streaming import jobs
-    out = jobs.run_to_table(jobs.stream_first_seen(_event_stream(spark, d), ["user_id", "event_type"], "ts", "60 days"), "first-seen")
-    return out.select("user_id", "event_type")
-
-
-@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_status_counts(spark, d):
-    from reelweave.streaming import jobs
-    s = jobs.stream_status_counts(_event_stream(spark, d), "ts", "event_type", "1 day")
-    out = jobs.run_batches(s, "status-counts", "complete")
-    return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
-
-
-@query()
-def stream_rate_limit(spark, d):
-    from reelweave.streaming import jobs
-    return jobs.run_to_table(jobs.stream_rate_limit(_event_stream(spark, d), "user_id", "ts", "event_id", 8, 43200), "rate-limit")
-
-
-@query("SELECT page_id FROM pages WHERE contains(html, '<a ') AND NOT (contains(html, 'cloudflare') AND (contains(html, 'captcha') OR contains(html, 'challenge-platform') OR contains(html, 'Access denied'))) AND regexp_matches(html, '(?i)<title')")
-def stream_pages(spark, d):
-    from reelweave.streaming import jobs
-    tables(spark, d)
-    raw = spark.readStream.schema(spark.table("pages").schema).parquet(f"{d}/pages.parque[t]")
-    return jobs.stream_pages(raw, "pages").filter(F.contains("html", F.lit("<a "))).select("page_id")
-
-
 # --- the whole decision ------------------------------------------------------
 
 @query()

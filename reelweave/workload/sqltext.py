@@ -155,3 +155,14 @@ def score(d: str, ya: str, yb: str) -> str:
     part = (f"CASE WHEN {ya} > 0 AND {yb} > 0 THEN CASE WHEN {ya} = {yb} THEN 40.0::DOUBLE WHEN abs({ya} - {yb}) = 1 THEN 25.0::DOUBLE "
             f"WHEN abs({ya} - {yb}) <= 3 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 20.0::DOUBLE END")
     return f"CASE WHEN {d} < 0.18::DOUBLE THEN {d} * 60.0::DOUBLE ELSE {part} + {d} * 60.0::DOUBLE END"
+
+
+def admitted(source: str, key: str, ts: str, event: str, n: int, seconds: int) -> str:
+    """Rows with ``admitted``, decided one after the other within a key."""
+    return f"""WITH RECURSIVE e AS (SELECT {key}, {event}, epoch_us({ts}) AS us, row_number() OVER (PARTITION BY {key} ORDER BY {ts}, {event}) AS i FROM {source}),
+s({key}, i, {event}, admitted, kept) AS (
+  SELECT {key}, 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, []::BIGINT[] FROM (SELECT DISTINCT {key} FROM e)
+  UNION ALL
+  SELECT {key}, i, {event}, len(k) < {n}, CASE WHEN len(k) < {n} THEN list_append(k, us) ELSE k END
+  FROM (SELECT e.*, list_filter(s.kept, lambda t: t > e.us - {seconds * 1_000_000}) AS k FROM s JOIN e ON e.{key} = s.{key} AND e.i = s.i + 1))
+SELECT {key}, {event}, admitted FROM s WHERE i > 0"""
