@@ -738,25 +738,6 @@ def page_magnets(spark, d):
     return pg.extract_links(pages).select("thread_id", "raw_title", F.explode("magnet_uris").alias("magnet"))
 
 
-# --- the whole decision ------------------------------------------------------
-
-@query()
-def ingest_decisions(spark, d):
-    from reelweave.plans import ingest as ig
-    t = fixture(spark, d, THREADS).withColumn("thread_hash", F.sha2(F.col("thread_id").cast("string"), 256))
-    l = fixture(spark, d, LINKS).select("thread_id", "magnet").distinct().groupBy("thread_id").agg(F.sort_array(F.collect_list("magnet")).alias("magnet_uris"))
-    batch = t.join(l, "thread_id", "left").withColumn("magnet_uris", F.coalesce("magnet_uris", F.array().cast("array<string>")))
-    stored = fixture(spark, d, LINKED).filter("thread_id % 2 = 0").withColumn("thread_hash", F.sha2(F.col("thread_id").cast("string"), 256))
-    stored = rel.add_title_parts(stored, "raw_title", "clean_title", "year", "_rest").withColumn("magnet_uris", F.array().cast("array<string>"))
-    out = ig.ingest(batch, stored, fixture(spark, d, REF))
-    rows = None
-    for name in ("failed", "unchanged", "updated", "linked", "pending"):
-        ids = out[name].select("thread_hash", F.lit(name).alias("decision"))
-        rows = ids if rows is None else rows.unionByName(ids)
-    links = out["streams"].groupBy("thread_hash").agg(F.count("*").alias("links"))
-    return rows.join(links, "thread_hash", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-
-
 # --- requests, merges and pages that nothing above reaches ----------------------
 
 _REQUESTS = f"{LATEST}, asked AS (SELECT tmdb_id || ':' || season || ':' || (link_id % 40) AS id FROM latest WHERE season IS NOT NULL UNION SELECT tmdb_id FROM latest UNION SELECT 'x:pending:' || tmdb_id || ':1:' || (4000000000 + link_id) FROM latest)"
