@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelweave.functions import identity as idn
 from reelweave.operators import merge as mg
 from reelweave.plans import ingest as ig
+from reelweave.session import materialize
 from reelweave.sources import pages as pg
 from reelweave.sources.store import Store
 
@@ -26,7 +27,9 @@ def batch_rows(pages: DataFrame, routes: list[tuple[str, str, str]], default_ori
     if "seen_at" in found.columns:
         found = found.withColumn("posted_at", F.coalesce("posted_at", "seen_at"))
     keyed = idn.add_identity_keys(found, default_origin=default_origin).withColumn("url", F.col("canonical_url"))
-    return mg.fold_batch(keyed.withColumn("_order", F.xxhash64("url", "raw_title", "magnet_uris")), "_order", ["raw_title", "type", "catalog", "posted_at"])
+    # written first: joins on computed keys would repeat the whole parse in a filter
+    keyed = materialize(keyed.withColumn("_order", F.xxhash64("url", "raw_title", "magnet_uris")), "keyed-pages")
+    return mg.fold_batch(keyed, "_order", ["raw_title", "type", "catalog", "posted_at"])
 
 
 def take_batch(pages: DataFrame, batch_id: int, store: Store, reference: DataFrame, routes: list[tuple[str, str, str]], as_of: Column, name: str = "intake") -> None:
