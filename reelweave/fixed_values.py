@@ -257,6 +257,10 @@ DOWNLOAD_STATES = [
 FINISHED_STATES = ["completed", "cached", "downloaded", "seeding", "uploading"]
 BROKEN_STATES = ["expired", "error", "failed", "paused"]
 CATALOGS = {"series": "top-series-from-forum", "hd": "tamil-hd-movies", "dubbed": "tamil-dubbed-movies"}
+DETAIL_NO_NAME = "Unknown"
+DETAIL_NO_OVERVIEW = "Up-to-date metadata resolving on Cinemeta."
+DETAIL_PENDING = "Pending metadata match. You can link this manually in the administration rescue panel."
+DETAIL_PLACEHOLDER_POSTER = ""  # configured
 POSTER_FORMAT = ("https://images.metahub.space/poster/medium/", "/img")
 GAP_REASONS = {
     "HEALTHY": "100% Verified Link: Both TMDB ID and IMDb ID mapped cleanly.",

@@ -555,21 +555,18 @@ def first_thread(spark, d):
 
 @query(f"""{T}, i AS (SELECT *, row_number() OVER (PARTITION BY catalog, type ORDER BY COALESCE(posted_at, TIMESTAMP '1970-01-01') DESC, thread_hash) AS n FROM th WHERE status = 'linked' AND catalog <> ''),
 j AS (SELECT i.*, r.imdb_id, row_number() OVER (PARTITION BY catalog, i.type ORDER BY n) AS m FROM i JOIN fx_reference r USING (tmdb_id) WHERE n > 20 AND imdb_id IS NOT NULL)
-SELECT catalog, type, imdb_id, thread_id FROM j WHERE m <= 40 QUALIFY row_number() OVER (PARTITION BY catalog, type, imdb_id ORDER BY m) = 1""")
+SELECT catalog, type, imdb_id, thread_id, regexp_replace(clean_title, ' S0.*$', '') AS name, CASE WHEN year > 0 THEN CAST(year AS VARCHAR) ELSE '' END AS release_info, CASE WHEN thread_id % 3 = 0 THEN 'p' || thread_id ELSE 'https://images.metahub.space/poster/medium/' || imdb_id || '/img' END AS poster,
+  CASE WHEN thread_id % 2 = 0 THEN 'd' || thread_id ELSE '' END AS description FROM j WHERE m <= 40 QUALIFY row_number() OVER (PARTITION BY catalog, type, imdb_id ORDER BY m) = 1""")
 def catalog_page(spark, d):
     from reelweave.plans import catalog as ct
-    return ct.catalog_page(_threads(spark, d), fixture(spark, d, REF), skip=20).select("catalog", "type", "imdb_id", "thread_id")
+    return ct.catalog_page(_custom_fields(_threads(spark, d)), fixture(spark, d, REF), skip=20).select(
+        "catalog", "type", "imdb_id", "thread_id", "name", "release_info", "poster", "description")
 
 
-@query()
-def links_for_request(spark, d):
-    from reelweave.plans import catalog as ct
-    s = _latest(spark, d)
-    cache = spark.table(LINKS).select(ln.infohash(F.col("magnet")).alias("infohash"), "magnet", F.col("seen_at").alias("created_at"))
-    asked = _requests(s).select(F.concat_ws(":", "tmdb_id", "season", "episode").alias("id"))
-    said = s.filter("link_id % 2 = 0").select("infohash", (F.col("link_id") % 3 == 0).alias("cached"))
-    downloads = s.filter("link_id % 7 = 1").select("infohash", F.lit("downloaded").alias("status"))
-    return ct.links_for_request(asked, fixture(spark, d, REF), _threads(spark, d), s, said, downloads, cache)
+def _custom_fields(threads):
+    number = F.col("thread_id").cast("string")
+    return threads.withColumns({"custom_poster": F.when(F.col("thread_id") % 3 == 0, F.concat(F.lit("p"), number)),
+                                "custom_description": F.when(F.col("thread_id") % 2 == 0, F.concat(F.lit("d"), number)).otherwise(F.lit(""))})
 
 
 # --- merges ------------------------------------------------------------------
