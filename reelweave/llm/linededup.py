@@ -16,9 +16,10 @@ half before or the half after it is the same in both.
 
 Lines of fewer than ``exact_from`` words are always kept.  Defined results: a
 null text stays null with no lines; an empty text has one empty line; rows of
-equal doc_id are compared as one document's lines with the row whose text
-sorts first being earlier only by line number; rows without doc_id are left
-alone and do not remove anything.  Other columns are kept.
+equal doc_id are told apart by a hash of their text, the smaller hash being
+earlier, and rows repeated whole are treated alike; rows without doc_id are
+left alone and do not remove anything.  Other columns are kept, but for one
+named ``_removed``.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from reelweave.llm import blocks as bl
 from reelweave.llm.folders import Folder
 
-EXACT_FROM, NEAR_FROM = 3, 8
+EXACT_FROM, NEAR_FROM = 1, 8
 BROADCAST_ROWS = 200_000
+#: What tells the rows of a table apart, and their order.
+_ROW = ("doc_id", "text_key")
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _NEWLINE = np.zeros(256, bool)
@@ -78,7 +81,7 @@ def _run_hash(total: np.ndarray, inverse: np.ndarray, lo: np.ndarray, hi: np.nda
 
 
 def _scan(near_from: int):
-    out = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,13 +97,13 @@ def _scan(near_from: int):
                 near = n >= near_from
                 flat = np.stack(keys, axis=1)[near].ravel() if len(n) else np.zeros(0, _U)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(np.where(near, 4, 0)))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], schema=out)
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(text)) for c in _ROW], pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], schema=out)
     return run
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word hashes of the asked lines of each text."""
-    out = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("hashes", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("hashes", pa.binary())])
     for batch in batches:
         for part, buf, off in bl.text_blocks(batch, "text"):
             word, text, number, lo, n = _lines(buf, off)
@@ -112,11 +115,11 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(text * (1 << 32) + number, wanted)
             size = n[at]
             take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[at], size)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(owner)), flat.field("line").cast(pa.int32()), flat.field("h"), bl.binary_rows(word[take], size)], schema=out)
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(owner)) for c in _ROW], flat.field("line").cast(pa.int32()), flat.field("h"), bl.binary_rows(word[take], size)], schema=out)
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = pa.schema([("v", pa.int64()), ("i", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64())])
+    out = pa.schema([("v", pa.int64()), ("i", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.int32()), ("h", pa.int64())])
     for whole in batches:
         for start in range(0, whole.num_rows, 2000):
             batch = whole.slice(start, 2000)
@@ -134,7 +137,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = total[end] - total[skip]
             code = code + rest * inverse[begin] * _U(pow(_STEP, -1, 1 << 64))
             size = np.where(i < 0, n[row], n[row] - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(bl.mix64(code + bl.mix64(size.astype(_U))).view(np.int64)), pa.array(i.astype(np.int32)), *[batch.column(c).take(pa.array(row)) for c in ("doc_id", "line", "h")]], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(bl.mix64(code + bl.mix64(size.astype(_U))).view(np.int64)), pa.array(i.astype(np.int32)), *[batch.column(c).take(pa.array(row)) for c in (*_ROW, "line", "h")]], schema=out)
 
 
 def _within_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,50 +153,52 @@ def _within_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_lines(docs: DataFrame, exact_from: int = EXACT_FROM, near_from: int = NEAR_FROM) -> DataFrame:
-    """doc_id and the sorted numbers of its lines that go; only documents that lose one."""
+    """doc_id, text_key and the sorted numbers of the lines that go; only rows that lose one."""
     folder = Folder(docs.sparkSession, "lines")
-    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lines = folder.write(docs.mapInArrow(_scan(near_from), "doc_id bigint, line int, words int, h bigint, keys array<bigint>").filter(F.col("words") >= exact_from), "lines")
-    first = folder.write(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")), "first")
+    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    lines = folder.write(docs.mapInArrow(_scan(near_from), "doc_id bigint, text_key bigint, line int, words int, h bigint, keys array<bigint>").filter(F.col("words") >= exact_from), "lines")
+    first = folder.write(lines.groupBy("h").agg(F.min(F.struct(*_ROW, "line")).alias("at")), "first")
     # candidates: lines that have a half in common with another line
     keyed = lines.filter(F.size("keys") > 0).select("h", F.explode("keys").alias("key")).distinct().repartition("key")
     crowded = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
     flagged = keyed.join(crowded, "key").select("h").distinct()
-    asked = folder.write(first.join(flagged, "h").groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h")).alias("asked")), "asked")
+    asked = folder.write(first.join(flagged, "h").groupBy("at.doc_id", "at.text_key").agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h")).alias("asked")), "asked")
     few = asked.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(asked.select("doc_id")) if few else asked.select("doc_id"), "doc_id", "left_semi")
-    picked = folder.write(texts.join(asked, "doc_id").mapInArrow(_pick, "doc_id bigint, line int, h bigint, hashes binary").dropDuplicates(["h"]), "picked")
+    texts = docs.join(F.broadcast(asked.select(*_ROW)) if few else asked.select(*_ROW), list(_ROW), "left_semi")
+    picked = folder.write(texts.join(asked, list(_ROW)).mapInArrow(_pick, "doc_id bigint, text_key bigint, line int, h bigint, hashes binary").dropDuplicates(["h"]), "picked")
     # earliest of every variant group
-    variants = picked.mapInArrow(_variants, "v bigint, i int, doc_id bigint, line int, h bigint").repartition("v")
-    order = F.struct("doc_id", "line", "h")
+    variants = picked.mapInArrow(_variants, "v bigint, i int, doc_id bigint, text_key bigint, line int, h bigint").repartition("v")
+    order = F.struct(*_ROW, "line", "h")
     groups = variants.groupBy("v", "i").agg(F.min(order).alias("e"), F.max(order).alias("l"))
     many = groups.filter("i >= 0 AND e.h <> l.h").select("v", "i", "e")
     changed = variants.join(many, ["v", "i"]).filter("h <> e.h").selectExpr("h", "e.h AS other")
-    own = variants.filter("i < 0").select("v", F.struct("doc_id", "line").alias("o"), F.col("h").alias("own"))
-    left_out = variants.filter("i >= 0").select("v", F.struct("doc_id", "line").alias("x"), "h")
+    own = variants.filter("i < 0").select("v", F.struct(*_ROW, "line").alias("o"), F.col("h").alias("own"))
+    left_out = variants.filter("i >= 0").select("v", F.struct(*_ROW, "line").alias("x"), "h")
     pairs = left_out.join(own, "v").filter("h <> own").selectExpr("CASE WHEN o < x THEN h ELSE own END AS h", "CASE WHEN o < x THEN own ELSE h END AS other")
     pairs = changed.union(pairs).distinct()
     words = picked.select("h", "hashes")
     near = pairs.join(words.withColumnRenamed("hashes", "x"), "h").join(words.selectExpr("h AS other", "hashes AS y"), "other").select("h", "x", "y").mapInArrow(_within_one, "h bigint").distinct()
     near = folder.write(near, "near")
-    later = lines.join(first, "h").filter("doc_id <> at.doc_id OR line <> at.line").select("doc_id", "line")
-    also = lines.join(near, "h", "left_semi").select("doc_id", "line")
-    return later.union(also).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    later = lines.join(first, "h").filter("doc_id <> at.doc_id OR text_key <> at.text_key OR line <> at.line").select(*_ROW, "line")
+    also = lines.join(near, "h", "left_semi").select(*_ROW, "line")
+    return later.union(also).groupBy(*_ROW).agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def _rewrite(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, left = [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            own = list(batch.columns[:-1])
+            at = schema.get_field_index("text")
+            for text, gone in zip(own[at].to_pylist(), batch.columns[-1].to_pylist(), strict=True):
                 if gone and text is not None:
                     drop = set(gone)
                     rows = text.split("\n")
                     text = "\n".join(x for k, x in enumerate(rows) if k not in drop)
                 texts.append(text)
                 left.append(len(gone or ()))
-            columns = {n: batch.column(n) for n in batch.schema.names} | {"text": pa.array(texts, pa.string()), "_removed": pa.array(left, pa.int64())}
-            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+            own[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*own, pa.array(left, pa.int64())], schema, strict=True)], schema=schema)
     return run
 
 
@@ -202,9 +207,14 @@ def dedup_lines(docs: DataFrame, exact_from: int = EXACT_FROM, near_from: int =
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    gone = removed_lines(docs, exact_from, near_from).selectExpr("doc_id AS _doc", "gone AS _gone")
+    docs = docs.drop("_removed")
+    taken = {c.lower() for c in docs.columns}
+    doc, key, lines = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("doc_of", "key_of", "lines_of"))
+    gone = removed_lines(docs, exact_from, near_from).toDF(doc, key, lines)
     schema = T.StructType([*docs.schema.fields, T.StructField("_removed", T.LongType())])
-    return docs.join(gone, docs["doc_id"] == gone["_doc"], "left").drop("_doc").mapInArrow(_rewrite(to_arrow_schema(schema)), schema)
+    # the lists are the last column, whatever the others are called
+    mine = (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(key))
+    return docs.join(gone, mine, "left").select(*docs.columns, lines).mapInArrow(_rewrite(to_arrow_schema(schema)), schema)
 
 
 def report(docs: DataFrame, **rules) -> DataFrame:

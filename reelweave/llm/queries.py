@@ -105,7 +105,7 @@ def op6_mixing(spark, d):
 _OP8 = f"""
 WITH raw AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 line AS MATERIALIZED (SELECT doc_id, line, l, {_WORDS.format("l")} AS ws FROM raw),
-first_ AS MATERIALIZED (SELECT ws, min((doc_id, line)) AS o FROM line WHERE len(ws) >= 3 GROUP BY ws),
+first_ AS MATERIALIZED (SELECT ws, min((doc_id, line)) AS o FROM line WHERE len(ws) >= 1 GROUP BY ws),
 near AS MATERIALIZED (SELECT ws, o, unnest(range(1, len(ws) + 1)) AS i FROM first_ WHERE len(ws) >= 8),
 variant AS MATERIALIZED (SELECT ws, o, i, ws[:i - 1] || ws[i + 1:] AS v FROM near),
 changed AS (SELECT v, i, min(o) AS o FROM variant GROUP BY v, i HAVING count(*) > 1),

@@ -93,7 +93,7 @@ class _Anchored:
 
 def _anchors(window: int):
     """Cell of every distinct anchor of each text, with its text's id."""
-    out = pa.schema([("doc_id", pa.int64()), ("cell", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("cell", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +109,8 @@ def _anchors(window: int):
                 cell, text = cell[order], text[order]
                 first = np.ones(len(cell), bool)
                 first[1:] = (cell[1:] != cell[:-1]) | (text[1:] != text[:-1])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text[first])), pa.array(cell[first])], schema=out)
+                of = pa.array(text[first])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_key").take(of), pa.array(cell[first])], schema=out)
     return run
 
 
@@ -122,7 +123,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeated(window: int):
     """Windows of the asked anchors: hash, text's id and first word."""
-    out = pa.schema([("w", pa.int64()), ("a", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+    out = pa.schema([("w", pa.int64()), ("a", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,21 +143,26 @@ def _repeated(window: int):
                 hit = wanted[at] == own
                 text, start = a.text[hit], a.window[hit]
                 place = bl.mix64(a.codes[a.anchor[hit]] + (a.anchor[hit] - start).astype(_U))
-                yield pa.RecordBatch.from_arrays([pa.array(a.hash[hit].view(np.int64)), pa.array(place.view(np.int64)), part.column("doc_id").take(pa.array(text)), pa.array((start - a.first[text]).astype(np.int32))], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(a.hash[hit].view(np.int64)), pa.array(place.view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("text_key").take(pa.array(text)), pa.array((start - a.first[text]).astype(np.int32))], schema=out)
     return run
 
 
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and the first words of its windows that a smaller doc_id has too; docs: bigint doc_id, text."""
+    """doc_id, text_key and the first words of its windows that a smaller doc_id has too; docs: bigint doc_id, text_key, text.
+
+    The hash of the text keeps rows of one id apart: places in a text are that text's alone.
+    """
     folder = Folder(docs.sparkSession, "substring")
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = folder.write(docs.mapInArrow(_anchors(window), "doc_id bigint, cell bigint"), "anchors")
+    row = ["doc_id", "text_key"]
+    anchors = folder.write(docs.mapInArrow(_anchors(window), "doc_id bigint, text_key bigint, cell bigint"), "anchors")
     sketch = anchors.select("cell").mapInArrow(_sketch, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     often = sketch.filter("n > 1").select("cell")
-    asked = anchors.join(often, "cell").groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
-    windows = folder.write(docs.join(asked, "doc_id").select("doc_id", "text", "cells").mapInArrow(_repeated(window), "w bigint, a bigint, doc_id bigint, at int"), "windows")
+    asked = anchors.join(often, "cell").groupBy(*row).agg(F.collect_set("cell").alias("cells"))
+    windows = docs.join(asked, row).select(*row, "text", "cells").mapInArrow(_repeated(window), "w bigint, a bigint, doc_id bigint, text_key bigint, at int")
+    windows = folder.write(windows, "windows")
     least = windows.groupBy("w", "a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
-    return windows.join(least, ["w", "a"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    return windows.join(least, ["w", "a"]).filter("doc_id > lo").groupBy(*row).agg(F.collect_set("at").alias("at"))
 
 
 def _cut(window: int):
@@ -187,9 +193,9 @@ def _cut(window: int):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words that stay joined by one space."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     cut = covered(docs, window)
-    return docs.join(cut, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(_cut(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return docs.join(cut, ["doc_id", "text_key"], "left").select("doc_id", "text", "at").mapInArrow(_cut(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

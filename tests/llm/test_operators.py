@@ -146,6 +146,15 @@ def test_substring(spark, empty):
     assert substring.digests(empty).count() == 0
 
 
+def test_substring_tells_rows_of_one_id_apart(spark):
+    passage, own = " ".join(f"p{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("b", 100), ("n", 300))]
+    rows = [(1, passage), (5, f"{own[0]} {passage}"), (5, "a b c"), (5, "a b c"), (9, own[1]), (9, passage)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.digests(df).collect())
+        assert got == [(1, 60, 0), (5, 3, 0), (5, 3, 0), (5, 160, 60), (9, 60, 60), (9, 300, 0)]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "[INST] a \\ <\\s>"), (1, 2, "assistant", "</s>b<s>"), (2, 0, "assistant", None), (2, 1, "tool]", "x[/ROLE]y"), (3, None, None, ""), (3, 0, "user", "q"), (3, 0, "user", "q")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"t{i} <<SYS>>") for i in range(700)]
@@ -279,12 +288,24 @@ def test_line_dedup(spark, empty):
     gone = {a for a in first for b in first if first[b] < first[a] and near(a, b)}
     for d, t, _ in rows:
         all_lines = t.split("\n") if t is not None else []
-        kept = [x for k, x in enumerate(all_lines) if len(words(x)) < 3 or (first[tuple(words(x))] == (d, k) and tuple(words(x)) not in gone)]
+        kept = [x for k, x in enumerate(all_lines) if not words(x) or (first[tuple(words(x))] == (d, k) and tuple(words(x)) not in gone)]
         assert got[d] == (len(all_lines), len(all_lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()), d
     assert linededup.report(empty).count() == 0
     assert linededup.dedup_lines(empty).columns == [*empty.columns, "_removed"]
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "one line here"), (5, "one line here\nanother"), (5, "totally different first line\nmore\nand more\none line here"), (5, "x"), (7, "x\nmore"), (7, "x\nmore")]
+    for parts in (1, 4):
+        df = spark.createDataFrame([(*r, "g", 3, "d", "o") for r in rows], "doc_id bigint, text string, _gone string, _removed int, gone string, text_key string").repartition(parts)
+        out = linededup.dedup_lines(df)
+        assert out.columns == ["doc_id", "text", "_gone", "gone", "text_key", "_removed"]
+        got = sorted((r["doc_id"], r["text"], r["_removed"], r["_gone"], r["gone"], r["text_key"]) for r in out.collect())
+        more = "totally different first line\nmore\nand more"
+        assert [g[:3] for g in got] == sorted([(1, "one line here", 0), (5, "another", 1), (5, more, 1), (5, "x", 0), (7, "", 2), (7, "", 2)])
+        assert all(g[3:] == ("g", "d", "o") for g in got)
+
+
 def test_language_model(docs, empty, spark):
     rows = {r["doc_id"]: r for r in lm.score(docs).collect()}
     train, counts = 0, {}
