@@ -209,12 +209,12 @@ def dedup_lines(docs: DataFrame, exact_from: int = EXACT_FROM, near_from: int =
 
     docs = docs.drop("_removed")
     taken = {c.lower() for c in docs.columns}
-    doc, key, lines = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("doc_of", "key_of", "lines_of"))
+    doc, key, own, lines = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("doc_of", "key_of", "own_key", "lines_of"))
     gone = removed_lines(docs, exact_from, near_from).toDF(doc, key, lines)
     schema = T.StructType([*docs.schema.fields, T.StructField("_removed", T.LongType())])
-    # the lists are the last column, whatever the others are called
-    mine = (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(key))
-    return docs.join(gone, mine, "left").select(*docs.columns, lines).mapInArrow(_rewrite(to_arrow_schema(schema)), schema)
+    # the hash is a column before the join, which would compute it anew at each comparison; the lists come last, whatever the others are called
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    return keyed.join(gone, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(key)), "left").select(*docs.columns, lines).mapInArrow(_rewrite(to_arrow_schema(schema)), schema)
 
 
 def report(docs: DataFrame, **rules) -> DataFrame:
