@@ -23,9 +23,9 @@ def read_entity(spark: SparkSession, name: str, path: str) -> DataFrame:
 def read_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """Rows that fit the schema, and the raw text of those that do not."""
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
-    rows = spark.read.schema(full).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    return (rows.filter(F.col("_corrupt").isNull()).drop("_corrupt"),
-            rows.filter(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("raw")))
+    # read as text: the reader of JSON files gives no rows that are only broken
+    rows = spark.read.text(path).select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return rows.filter("r._corrupt IS NULL AND r IS NOT NULL").select("r.*").drop("_corrupt"), rows.filter("r._corrupt IS NOT NULL").select(F.col("value").alias("raw"))
 
 
 def choose_load_mode(index: DataFrame, force: bool = False) -> str:

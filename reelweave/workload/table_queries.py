@@ -76,7 +76,7 @@ _PROVIDER = "CASE torrent_id % 4 WHEN 0 THEN 'cached' WHEN 1 THEN 'downloading'
 
 @query(f"""{with_clause(FILES)}, f AS (SELECT *, CASE torrent_id % 4 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'downloading' WHEN 2 THEN 'error' ELSE 'downloaded' END AS state,
  bool_or(selected = 1) OVER (PARTITION BY torrent_id) AND torrent_id % 3 = 0 AS choosing FROM fx_files)
-SELECT torrent_id, CAST(file_id AS INTEGER) AS file_id, path, bytes, CASE WHEN NOT choosing OR selected = 1 THEN 1 ELSE 0 END AS selected, state, CASE WHEN state = 'downloaded' THEN 'tb:' || torrent_id || ':' || file_id ELSE '' END AS link FROM f""")
+SELECT torrent_id, CAST(file_id AS INTEGER) AS file_id, path, bytes, CASE WHEN NOT choosing OR bool_or(selected = 1) OVER (PARTITION BY torrent_id, file_id) THEN 1 ELSE 0 END AS selected, state, CASE WHEN state = 'downloaded' THEN 'tb:' || torrent_id || ':' || file_id ELSE '' END AS link FROM f""")
 def file_nodes(spark, d):
     f = fixture(spark, d, FILES)
     one = f.groupBy("torrent_id").agg(F.sort_array(F.collect_list(F.struct(F.col("file_id").cast("string").alias("id"), F.col("path").alias("name"), F.col("bytes").alias("size")))).alias("files"),
