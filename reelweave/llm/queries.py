@@ -63,13 +63,14 @@ def op2_bpe(spark, d):
 def op10_langid(spark, d):
     from reelweave.llm import langid
 
-    return langid.predict(table(spark, d, "documents")).drop("accepted")
+    return langid.predict(table(spark, d, "documents"))
 
 
 _OP6 = f"""
 WITH RECURSIVE sized AS MATERIALIZED (
   SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size,
-         ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, 'null'))[:8])::BIGINT AS u FROM documents),
+         (('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')))[:8])::BIGINT
+          + (row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1) * 2654435769) % 4294967296 AS u FROM documents),
 total AS (SELECT source, sum(size)::BIGINT AS n FROM sized GROUP BY source),
 weighed AS (SELECT source, n, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM total),
 ranked AS MATERIALIZED (SELECT *, 2.0::DOUBLE * n AS most, row_number() OVER (ORDER BY 2.0::DOUBLE * n / w, source IS NULL, encode(source)) AS k FROM weighed),

@@ -220,6 +220,25 @@ def test_mixing(docs, empty):
     assert mixing.taken(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_repeated_and_missing_ids(spark):
+    rnd = random.Random(3)
+    text = " ".join("w" for _ in range(10))
+    rows = [(None, f"{text} {k}", "a", "x", 1) for k in range(400)] + [(7, text, "b", "x", k % 2) for k in range(9000)] + [(k, text, "c", "x", 1) for k in range(40)]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies string, u int").repartition(5)
+    got = mixing.taken(docs).withColumnRenamed("source_size", "source").groupBy("source", "target").agg(F.sum("taken").alias("n"), F.sum("size").alias("size"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    of = {4400: "a", 90000: "b", 400: "c"}
+    mixed = {r["source"]: r["n"] for r in mixing.sizes(mixing.mix(docs)).groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    assert len(got) == 3
+    for r in got:
+        assert abs(r["n"] - r["target"]) <= 0.02 * r["size"] + 22 and r["most"] <= 2, r
+        assert abs(mixed.get(of[r["source"]], 0) - r["target"]) <= 0.1 * r["size"] + 22, (r, mixed)
+    assert mixing.mix(docs).columns == docs.columns
+    whole = docs.filter("source <> 'b'").union(docs.filter("source = 'b' AND u = 0"))
+    counts = lambda df: sorted((r["source"], r["n"]) for r in df.groupBy("source").agg(F.sum("n").alias("n")).collect())
+    assert counts(mixing.taken(whole).select("source_size", F.lit("all").alias("source"), F.col("copies").alias("n"))) == counts(mixing.mix(whole).select(F.lit("all").alias("source"), F.lit(1).alias("n")))
+
+
 def test_targets_stop_at_the_cap():
     assert mixing.targets([("a", 10), ("b", 100), (None, 1000)]) == {"a": 20.0, "b": 200.0, None: 1445.0}
     assert mixing.targets([("a", 0)]) == {"a": 0.0}
