@@ -34,6 +34,7 @@ CELLS = 8
 ROOM = 64
 LARGER = 16
 ROUNDS = 4
+ROW = 4
 #: A task adds up the cells of a bucket or a few; it should hold them in memory.
 ROWS_A_BUCKET = 500
 MOST_BUCKETS = 4_096
@@ -91,23 +92,26 @@ def _versions(docs: DataFrame) -> DataFrame:
     return rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
 
 
-#: Which sketches a version goes to, and its sign there: 0 text - edited, 1 text - next, 2 and 3 the fingerprints.
-_USES = {0: ((0, 1), (1, 1), (2, 1)), 1: ((0, -1), (3, 1)), 2: ((1, -1),)}
+#: Which sketches a version goes to, and its sign there: 0 text - edited, 1 text - next, 2 and 3 the fingerprints;
+#: version 3 stands for the row itself and brings what is kept of it, so that the texts are read once.
+_USES = {0: ((0, 1), (1, 1), (2, 1)), 1: ((0, -1), (3, 1)), 2: ((1, -1),), 3: ((ROW, 1),)}
 
 
 def _cells(rows: DataFrame, room: int) -> DataFrame:
-    """Cells of each row's sketches: bucket, rn, kind, both (digests of both sides), at (table and cell), n, key, check."""
-    taken = rows.select("bucket", "rn", pieces(F.col("text")).alias("own"), pieces(F.col("edited")).alias("changed"), pieces(F.col("next_text")).alias("after"))
-    sized = taken.withColumn("both", F.array(F.size("own") + F.size("changed"), F.size("own") + F.size("after"), F.lit(0), F.lit(0)))
-    each = sized.select("bucket", "rn", "both", F.posexplode(F.array("own", "changed", "after")).alias("version", "digests")).select("bucket", "rn", "both", "version", F.explode("digests").alias("digest"))
+    """Cells of each row's sketches: bucket, rn, kind, both (digests of both sides), at (table and cell), about (for ``ROW``), n, key, check."""
+    about = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    taken = rows.select("bucket", "rn", about.alias("about"), pieces(F.col("text")).alias("own"), pieces(F.col("edited")).alias("changed"), pieces(F.col("next_text")).alias("after"))
+    sized = taken.withColumn("both", F.array(F.size("own") + F.size("changed"), F.size("own") + F.size("after"), F.lit(0), F.lit(0), F.lit(0)))
+    each = sized.select("bucket", "rn", "both", "about", F.posexplode(F.array("own", "changed", "after", F.array(F.lit(0).cast("bigint")))).alias("version", "digests"))
+    each = each.select("bucket", "rn", "both", F.when(F.col("version") == 3, F.col("about")).alias("about"), "version", F.explode("digests").alias("digest"))
     uses = F.lit(None)
     for version, kinds in _USES.items():
         uses = F.when(F.col("version") == version, F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("sign")) for k, s in kinds])).otherwise(uses)
-    used = each.withColumn("use", F.explode(uses)).select("bucket", "rn", "digest", F.col("use.kind").alias("kind"), F.col("use.sign").alias("sign"), F.get("both", F.col("use.kind")).alias("both"))
+    used = each.withColumn("use", F.explode(uses)).select("bucket", "rn", "about", "digest", F.col("use.kind").alias("kind"), F.col("use.sign").alias("sign"), F.get("both", F.col("use.kind")).alias("both"))
     spread = used.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     at = F.col("j") * _size(F.col("kind"), F.col("both"), room) + _place(F.col("j"), F.col("digest"), _size(F.col("kind"), F.col("both"), room))
-    placed = spread.select("bucket", "rn", "kind", "both", at.alias("at"), "sign", "digest", _check(F.col("digest")).alias("c"))
-    return placed.groupBy("bucket", "rn", "kind", "both", "at").agg(F.sum("sign").alias("n"), F.bit_xor("digest").alias("key"), F.bit_xor("c").alias("check"))
+    placed = spread.select("bucket", "rn", "about", "kind", "both", at.alias("at"), "sign", "digest", _check(F.col("digest")).alias("c"))
+    return placed.groupBy("bucket", "rn", "kind", "both", "at", "about").agg(F.sum("sign").alias("n"), F.bit_xor("digest").alias("key"), F.bit_xor("c").alias("check"))
 
 
 def _size(kind: Column, both: Column, room: int) -> Column:
@@ -130,7 +134,7 @@ def _peeled(cells: DataFrame, room: int) -> DataFrame:
         F.bit_xor(F.when(first, F.col("key"))).alias("all_keys"), F.bit_xor(F.when(first, F.col("check"))).alias("all_checks"), F.sum(F.when(first, F.col("n"))).alias("all_n"),
         F.collect_set(F.when(differs & pure, F.struct("key", "n"))).alias("found"),
         F.collect_list(F.when(differs & ~pure & ~zero, F.struct("at", "n", "key", "check"))).alias("rest"),
-        F.array_join(F.sort_array(F.collect_list(F.when(~differs, written))), ",").alias("text"))
+        F.array_join(F.sort_array(F.collect_list(F.when(~differs, written))), ",").alias("text"), F.max("about").alias("about"))
     size = _size(F.col("kind"), F.col("both"), room)
 
     def take_out(acc: Column) -> Column:
@@ -156,7 +160,7 @@ def _peeled(cells: DataFrame, room: int) -> DataFrame:
     peeled = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda acc, _: F.when((F.size(acc["rest"]) > 0) & (F.size(acc["new"]) > 0), take_out(acc)).otherwise(acc))
     end = F.when(complete, F.struct(F.size("found").alias("total"), F.lit(True).alias("whole"))).otherwise(
         F.transform(F.array(peeled), lambda e: F.struct(e["total"].alias("total"), (F.size(e["rest"]) == 0).alias("whole")))[0])
-    return met.withColumn("end", end).select("bucket", "rn", "kind", "both", F.col("end.total").alias("differ"), F.col("end.whole").alias("whole"), "text")
+    return met.withColumn("end", end).select("bucket", "rn", "kind", "both", F.col("end.total").alias("differ"), F.col("end.whole").alias("whole"), "text", "about")
 
 
 def likenesses(docs: DataFrame) -> DataFrame:
@@ -175,9 +179,10 @@ def likenesses(docs: DataFrame) -> DataFrame:
         fresh = folder.write(again.join(done.select("bucket", "rn", "kind"), ["bucket", "rn", "kind"], "left_anti"), "again")
         done = done.unionByName(fresh.filter("whole"))
         failed = fresh.filter("NOT whole").select("bucket", "rn").distinct()
-    kinds = done.groupBy("bucket", "rn").agg(*[F.max(F.when(F.col("kind") == k, 1 - F.col("differ") / F.col("both"))).alias(f"near{k}") for k in (0, 1)], *[F.max(F.when(F.col("kind") == k, F.col("text"))).alias(f"print{k}") for k in (2, 3)])
-    light = rows.select("bucket", "rn", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    kinds = done.groupBy("bucket", "rn").agg(
+        F.max("about").alias("about"), *[F.max(F.when(F.col("kind") == k, 1 - F.col("differ") / F.col("both"))).alias(f"near{k}") for k in (0, 1)],
+        *[F.max(F.when(F.col("kind") == k, F.col("text"))).alias(f"print{k}") for k in (2, 3)])
     nothing = F.lit("")
-    return light.join(kinds, ["bucket", "rn"], "left").select(
-        "doc_id", "n_chars", "edited_sha256", F.coalesce("print2", nothing).alias("fingerprint"), F.coalesce("print3", nothing).alias("edited_fingerprint"),
+    return kinds.select(
+        "about.doc_id", "about.n_chars", "about.edited_sha256", F.coalesce("print2", nothing).alias("fingerprint"), F.coalesce("print3", nothing).alias("edited_fingerprint"),
         F.coalesce("near0", F.lit(1.0)).alias("near_edited"), F.coalesce("near1", F.lit(1.0)).alias("near_next"))
