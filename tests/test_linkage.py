@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reelweave import fixed_values as fv
 from reelweave.operators import linkage as lk
 from reelweave.operators import ranking as rk
+from reelweave.operators.match_index import MatchIndex
 
 
 def grams(s):
@@ -50,3 +51,29 @@ def test_rate_limit_equals_sequential_reading(spark):
         ok = len(recent) < 8
         kept[user] = recent + [at] * ok
         assert got[i] == ok
+
+
+def test_stored_index_follows_its_references(spark, tmp_path):
+    rng = random.Random(11)
+    words = ["moon", "river", "x", "night", "zoo", "9", "star", "bo", "quiet hill", "omega"]
+    name = lambda: " ".join(rng.sample(words, rng.randint(1, 3)))
+    ref = lambda i: (f"r{i:03d}", name(), rng.choice([0, 2000, 2002, 2006]), rng.choice(["movie", "series"]))
+    columns = "tmdb_id string, title string, year int, type string"
+    targets = spark.createDataFrame([(i, rng.choice([name(), name(), "", None]), rng.choice([0, 2000, 2001, 2003, 2010]), rng.choice(["movie", "series"])) for i in range(100)], "id int, clean_title string, year int, type string")
+    held = {r[0]: r for r in map(ref, range(80))}
+    index = MatchIndex(spark, str(tmp_path / "index"))
+    index.update(spark.createDataFrame([*held.values(), (None, "moon", 2000, "movie")], columns))
+    changes = [(list(map(ref, [3, 4, 80, 81])), ["r000", "r001", "none"]), ([held["r005"], ("r000", *held["r000"][1:])], ["r080"]), ([], [])]
+    for changed, removed in changes:
+        before = set(map(tuple, index._all("titles").select("norm", "year", "kind").collect()))
+        segment = index.update(spark.createDataFrame(changed, columns), spark.createDataFrame([(r,) for r in removed], "tmdb_id string"))
+        held = {k: r for k, r in (held | {r[0]: r for r in changed}).items() if k not in removed}
+        new = index.store.read(f"titles-{segment}").select("r_id", "norm", "year", "kind").collect()
+        assert not {tuple(r[1:]) for r in new} & before and len(new) <= len(changed)
+        assert {r.r_id for r in index.store.read(f"postings-{segment}").select("r_id").distinct().collect()} <= {r.r_id for r in new}
+        assert index.store.read(f"ids-{segment}").count() <= 2 * len(changed) + len(removed)
+        want = lk.match_titles(targets, spark.createDataFrame(list(held.values()), columns))
+        got = index.match_titles(targets)
+        rows = lambda df: sorted((r.id, r.ref_id or "", round(r.score or 0, 9)) for r in df.collect())
+        assert rows(got) == rows(want)
+    assert sum(1 for r in got.collect() if r.ref_id) > 20
