@@ -1,7 +1,10 @@
 """Each operator against brute force on small tables with nulls, ties, empty and long texts, repeated rows and extra columns."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -470,8 +473,29 @@ def test_language_id_rejects_junk_despite_a_bad_label(spark):
     assert got == {0: True, 1: False, 2: False}
 
 
-def test_entry_works_without_the_package():
+def test_entry_has_every_operator():
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
     assert "pipeline" in entry.queries()
+
+
+_WITHOUT = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name in {hidden!r}:
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as entry
+names = set(entry.queries())
+assert len(names) > 100 and not [n for n in names if n.startswith("op") or n == "pipeline"], names
+"""
+
+
+@pytest.mark.parametrize("hidden", [["corpus_pipeline"], ["corpus_pipeline", "reelweave.llm"]])
+def test_entry_works_without_the_package(hidden):
+    import __spark_entry__ as entry
+
+    done = subprocess.run([sys.executable, "-c", _WITHOUT.format(hidden=hidden)], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
