@@ -77,3 +77,17 @@ def test_stored_index_follows_its_references(spark, tmp_path):
         rows = lambda df: sorted((r.id, r.ref_id or "", round(r.score or 0, 9)) for r in df.collect())
         assert rows(got) == rows(want)
     assert sum(1 for r in got.collect() if r.ref_id) > 20
+
+
+def test_title_of_many_years_is_met_once_where_years_do_not_count(spark, monkeypatch):
+    titles, years = ["moon river", "quiet hill", "moon hill 9"], [0, *range(1990, 2020)]
+    refs = [(f"r{(7 * i) % 93:03d}", t, y, "movie") for i, (t, y) in enumerate((t, y) for t in titles for y in years)]
+    targets = [(0, "moon river", 0, "movie"), (1, "moon rivers", 2050, "movie"), (2, "quiet hills", 1991, "movie"), (3, "moon hill 99", 0, "movie")]
+    met, best = [], lk._best
+    monkeypatch.setattr(lk, "_best", lambda pairs, level: met.append((pairs.filter("t_norm = 'moon river'").count(), pairs.filter("t_year = 2050").count())) or best(pairs, level))
+    got = {r.id: (r.ref_id, r.score) for r in lk.match_titles(
+        spark.createDataFrame(targets, ["id", "clean_title", "year", "type"]), spark.createDataFrame(refs, ["tmdb_id", "title", "year", "type"])).collect()}
+    for i, title, year, _ in targets:
+        score, minus = max(((pair_score(title, year, t, y), [-ord(c) for c in rid]) for rid, t, y, _ in refs), key=lambda p: p)
+        assert got[i][0] == "".join(chr(-c) for c in minus) and abs(got[i][1] - score) < 1e-9
+    assert max(n for n, _ in met) == 1 and max(n for _, n in met) <= 2
