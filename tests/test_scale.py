@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from reelweave import fixed_values as fv
 from reelweave.functions import links as ln
 from reelweave.functions import regex as rx
+from reelweave.operators import joins as jn
+from reelweave.plans import catalog as ct
 from reelweave.workload.fixtures import fixture
 
 
@@ -44,3 +46,23 @@ def test_name_behind_a_long_head(spark):
     rows = [(long,), ("dn=x&y",), ("xdn=x&dn=y",), ("a?dn=",), ("ddn=q",), ("?d&dn=k",), ("p &nbsp;&dn=m n",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "m string").select(ln.raw_name(F.col("m"))).collect()]
     assert got == ["a+b", "x", "", "", "", "k", "m n", None]
+
+
+def test_links_are_looked_up_before_requests_multiply_them(spark, monkeypatch):
+    streams = spark.createDataFrame([("7", f"{i:040x}", "1080p", "en", i, 1, None, None) for i in range(6)],
+                                    "tmdb_id string, infohash string, quality string, language string, link_id long, season int, episode int, episode_end int")
+    requests = spark.createDataFrame([(f"{base}:1:{e}",) for base in ("7", "tt7") for e in range(1, 11)], "id string")
+    metadata = spark.createDataFrame([("7", "tt7", 2000)], "tmdb_id string, imdb_id string, year int")
+    threads = spark.createDataFrame([("h", "7", "linked", 1, "series", "Show (2000)", "Show", 2000)],
+                                    "thread_hash string, tmdb_id string, status string, updated_at long, type string, raw_title string, clean_title string, year int")
+    said = spark.createDataFrame([(f"{i:040X}", i % 2 == 0) for i in range(4)], "infohash string, cached boolean")
+    kept = spark.createDataFrame([(f"{5:040x}", "downloaded"), (f"{3:040x}", "error")], "infohash string, status string")
+    cache = spark.createDataFrame([], "infohash string, magnet string, created_at timestamp")
+    met, looked_up = [], jn.with_availability
+    monkeypatch.setattr(jn, "with_availability", lambda links, *more: met.append(links.count()) or looked_up(links, *more))
+    rows = ct.links_for_request(requests, metadata, threads, streams, said, kept, cache).collect()
+    assert met == [6]
+    shown = {}
+    for r in sorted(rows, key=lambda r: (r.id, r.shown_rank)):
+        shown.setdefault(r.id, []).append((int(r.infohash, 16), r.is_cached))
+    assert len(shown) == 20 and all(v == [(0, True), (2, True), (5, True), (1, False), (3, False), (4, False)] for v in shown.values())
