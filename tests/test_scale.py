@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from reelweave import fixed_values as fv
 from reelweave.functions import links as ln
 from reelweave.functions import regex as rx
+from reelweave.functions import text as tx
+from reelweave.operators import filters as fl
 from reelweave.operators import joins as jn
 from reelweave.plans import catalog as ct
 from reelweave.workload.fixtures import fixture
@@ -66,3 +68,16 @@ def test_links_are_looked_up_before_requests_multiply_them(spark, monkeypatch):
     for r in sorted(rows, key=lambda r: (r.id, r.shown_rank)):
         shown.setdefault(r.id, []).append((int(r.infohash, 16), r.is_cached))
     assert len(shown) == 20 and all(v == [(0, True), (2, True), (5, True), (1, False), (3, False), (4, False)] for v in shown.values())
+
+
+def test_titles_of_links_are_compared_once(spark, monkeypatch):
+    name = lambda n, s, t: (f"magnet:?xt=urn:btih:{n:040x}{s}", "movie", t, "Quiet Hill")
+    rows = [name(n, "&dn=Red+River+2001+1080p", "Red River") for n in range(9)] + [name(n, "&dn=Blue+Zoo+Omega+1999+720p", "Red River") for n in range(9, 12)]
+    rows += [name(12, "", "Red River"), (None, "movie", "Red River", None), name(13, "&dn=Blue+Zoo+Omega+1999+720p", "Blue Zoo Omega")]
+    met, add = [], tx.add_dice
+    monkeypatch.setattr(tx, "add_dice", lambda df, *more: met.append(df.count()) or add(df, *more))
+    links = spark.createDataFrame(rows, "link string, type string, a string, b string")
+    got = fl.drop_divergent_links(links, "link", "type", ["a", "b"])
+    assert got.columns == ["link", "type", "a", "b", "infohash", "display_name", "stripped_link"]
+    assert sorted(-1 if r.infohash is None else int(r.infohash, 16) for r in got.collect()) == [-1, *range(9), 12, 13]
+    assert met == [3, 3]
