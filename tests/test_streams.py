@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,77 @@ def test_rate_limit_in_three_batches(spark, tmp_path):
     assert state_rows(spark, checkpoint, "waiting").count() == 1  # the last event
 
 
+class _List:
+    """A list state in memory."""
+
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, _List())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+@pytest.mark.parametrize("chunk", [7, 100_000])
+def test_passed_slots_of_a_key_are_decided_at_one_timer(chunk):
+    handle = _Handle()
+    admission = stateful._Admission(3, 60_000_000, 1000)
+    admission.CHUNK = chunk
+    admission.init(handle)
+    rnd = random.Random(2)
+    times = rnd.sample(range(400_000_000), 200)
+    rows = pd.DataFrame({"at_us": times + times[:20], "row_json": [f'{{"event_id":{i}}}' for i in [*range(200), *range(20)]]})
+    list(admission.handleInputRows(("k",), iter([rows.iloc[:110], rows.iloc[110:]]), _Now(0)))
+    fired, got = 0, []
+    for watermark in (200_000, 500_000, 600_000):
+        due = sorted(t for t in handle.timers if t <= watermark)
+        handle.timers -= set(due)
+        for at in due:
+            fired += 1
+            for frame in admission.handleExpiredTimer(("k",), _Now(watermark), _Now(at)):
+                got += frame.itertuples(index=False)
+    assert fired <= 3  # one for each watermark, not one a slot
+    want, kept = [], []
+    for i, us in sorted(enumerate(times), key=lambda e: e[1]):
+        kept = [t for t in kept if t > us - 60_000_000]
+        want.append(("k", f'{{"event_id":{i}}}', len(kept) < 3))
+        kept += [us] if want[-1][2] else []
+    assert [tuple(r) for r in got] == want
+    assert not handle.timers and not any(s.rows for s in handle.states.values())
+
+
 def test_inactivity_equals_the_batch_job_after_every_batch(spark, tmp_path):
     schema = "thread_hash string, status string, last_updated timestamp"
     store = Store(spark, f"{tmp_path}/store")
