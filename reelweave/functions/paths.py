@@ -11,7 +11,7 @@ from reelweave.functions import text as tx
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/\\]*)\z", 1)
+    return F.element_at(F.split(path, r"[/\\]"), -1)  # a pattern at the end would be tried from every character
 
 
 def _reading(season, episode=0, end=None, pack=False) -> Column:
@@ -64,14 +64,31 @@ def path_reading(name: Column, fallback: Column) -> Column:
     )
 
 
+def _prepared(path: Column) -> Column:
+    return tx.canonical_episode_token(tx.plain_spaces(file_name(path)))
+
+
 def parse_file_paths(df: DataFrame, path_col: str, fallback_season: Column | int, prefix: str = "") -> DataFrame:
     fallback = F.lit(fallback_season) if isinstance(fallback_season, int) else fallback_season
-    df = df.withColumn("_file", tx.canonical_episode_token(tx.plain_spaces(file_name(F.col(path_col)))))
+    df = df.withColumn("_file", _prepared(F.col(path_col)))
     df = df.withColumn("_p", path_reading(F.col("_file"), fallback))
     return df.withColumns({f"{prefix}{f}": F.col(f"_p.{f}") for f in (
         "season", "episode", "episode_start", "episode_end", "is_pack")}).drop("_file", "_p")
 
 
+def parse_path_twice(df: DataFrame, path_col: str, fallback_season: int, plain: str, canonical: str) -> DataFrame:
+    """Season and episode as the path is written (prefix ``plain``) and with its episode tokens made canonical first (``canonical``).
+
+    Where both give one file name it is read once.
+    """
+    fallback = F.lit(fallback_season)
+    df = df.withColumns({"_file": _prepared(F.col(path_col)), "_again": _prepared(tx.canonical_episode_token(F.col(path_col)))})
+    df = df.withColumn("_p", path_reading(F.col("_file"), fallback))
+    df = df.withColumn("_q", F.when(F.col("_file") == F.col("_again"), F.col("_p")).otherwise(path_reading(F.col("_again"), fallback)))
+    return df.withColumns({f"{prefix}{f}": F.col(f"{c}.{f}") for prefix, c in ((plain, "_p"), (canonical, "_q")) for f in (
+        "season", "episode")}).drop("_file", "_again", "_p", "_q")
+
+
 def is_video(path: Column, suffixes=None) -> Column:
     return F.regexp_like(F.lower(path), F.lit(rf"\.(?:{'|'.join(suffixes or fv.VIDEO_SUFFIXES)})\z"))
 
@@ -88,14 +105,23 @@ _MARKED_RANGE = (
 )
 
 
+def number_ranges(path: Column) -> Column:
+    """Ends ``lo`` and ``hi`` of every number range in the file name whose numbers touch no decimal point."""
+    name = file_name(path)
+    before, lo, hi, after = (rx.extract_all(name, _MARKED_RANGE, g) for g in (1, 2, 3, 4))
+    ranges = F.arrays_zip(before.alias("before"), lo.alias("lo"), hi.alias("hi"), after.alias("after"))
+    whole = F.filter(ranges, lambda r: (r["before"] == "") & (r["after"] == ""))
+    read = F.transform(whole, lambda r: F.struct(rx.to_int(r["lo"]).alias("lo"), rx.to_int(r["hi"]).alias("hi")))
+    return F.when(rx.matches(name, r"(?i)\d\s*(?:-|to)"), read).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+
+
+def in_ranges(ranges: Column, number: Column) -> Column:
+    return F.exists(ranges, lambda r: F.coalesce((r["lo"] <= number) & (number <= r["hi"]), F.lit(False)))
+
+
 def covers_episode(path: Column, episode: Column) -> Column:
     """True when a number range in the file name holds the episode.
 
     Numbers that touch a decimal point do not count.
     """
-    name = file_name(path)
-    before, lo, hi, after = (rx.extract_all(name, _MARKED_RANGE, g) for g in (1, 2, 3, 4))
-    ranges = F.arrays_zip(before.alias("before"), lo.alias("lo"), hi.alias("hi"), after.alias("after"))
-    return F.exists(ranges, lambda r: F.coalesce(
-        (r["before"] == "") & (r["after"] == "")
-        & (rx.to_int(r["lo"]) <= episode) & (episode <= rx.to_int(r["hi"])), F.lit(False)))
+    return in_ranges(number_ranges(path), episode)

@@ -70,12 +70,17 @@ def drop_divergent_links(links: DataFrame, link_col: str, type_col: str, title_c
     return df.join(dropped, name, "left_anti").select(*columns)
 
 
+def large_videos(files: DataFrame, path_col: str = "path", size_col: str = "bytes") -> DataFrame:
+    """Video files of real size, extras too."""
+    return files.filter((F.col(size_col) >= fv.MIN_VIDEO_BYTES) & pt.is_video(F.col(path_col)))
+
+
 def playable_files(files: DataFrame, relaxed: Column | None = None, path_col: str = "path", size_col: str = "bytes") -> DataFrame:
     """Video files of real size that are no extras; ``relaxed`` rows allow specials."""
     extra = pt.is_extra(F.col(path_col))
     if relaxed is not None:
         extra = F.when(relaxed, pt.is_extra(F.col(path_col), fv.EXTRA_WORDS_SPECIALS)).otherwise(extra)
-    return files.filter((F.col(size_col) >= fv.MIN_VIDEO_BYTES) & pt.is_video(F.col(path_col)) & ~extra)
+    return large_videos(files, path_col, size_col).filter(~extra)
 
 
 def download_state(col: Column) -> Column:

@@ -114,6 +114,10 @@ def pick_movie_file(files: DataFrame, group: str, file_id: str) -> DataFrame:
     return f.groupBy(group).agg(best.alias("b")).select(group, f"b.{file_id}", "b.path", (-F.col("b.minus")).alias("bytes"))
 
 
+#: Stands in a path's reading for the season asked for; no path names it.
+_ASKED = -1
+
+
 def pick_episode_file(files: DataFrame, requests: DataFrame, group: str, file_id: str) -> DataFrame:
     """File of a download that serves a requested season and episode.
 
@@ -121,25 +125,30 @@ def pick_episode_file(files: DataFrame, requests: DataFrame, group: str, file_id
     largest first; otherwise the e-th file in natural order, unless it names
     another episode.
     """
-    r = requests.select(group, F.col("season").alias("want_s"), F.col("episode").alias("want_e")).distinct()
-    c = fl.playable_files(files.join(r, group), relaxed=F.col("want_s") == 0)
-    # the season to fall back on is the one asked for, so it is resolved per request row
-    c = pt.parse_file_paths(c, "path", F.col("want_s"), prefix="p_")
-    c = c.withColumn("_norm_path", tx.canonical_episode_token(F.col("path")))
-    c = pt.parse_file_paths(c, "_norm_path", F.col("want_s"), prefix="q_").drop("_norm_path")
-    c = c.withColumn("_covers", pt.covers_episode(F.col("path"), F.col("want_e")))
-    same = (((F.col("q_season") == F.col("want_s")) & (F.col("q_episode") == F.col("want_e")))
-            | ((F.col("p_season") == F.col("want_s")) & (F.col("p_episode") == F.col("want_e")))
-            | ((F.col("q_season") == F.col("want_s")) & F.col("_covers")))
+    asked = requests.select(group, F.struct(F.col("season").alias("want_s"), F.col("episode").alias("want_e")).alias("r"))
+    asked = asked.groupBy(group).agg(F.collect_set("r").alias("_asked"))
+    extra, special = pt.is_extra(F.col("path")), pt.is_extra(F.col("path"), fv.EXTRA_WORDS_SPECIALS)
+    c = fl.large_videos(files).join(asked, group).withColumns({"_extra": extra, "_special": special}).filter(~(F.col("_extra") & F.col("_special")))
+    # a path is read once, however many requests it is held against; the season to fall back on is the one asked for, put in after
+    c = pt.parse_path_twice(c, "path", _ASKED, "p_", "q_")
+    c = c.withColumns({"_ranges": pt.number_ranges(F.col("path")), "_natural": tx.natural_sort_key(F.col("path")),
+                       "_folders": F.transform(rx.extract_all(F.col("path"), fv.SEASON_FOLDER), rx.to_int)})
+    c = c.select("*", F.inline("_asked")).filter(~F.when(F.col("want_s") == 0, F.col("_special")).otherwise(F.col("_extra")))
+    p_season, q_season = (F.when(F.col(n) == _ASKED, F.col("want_s")).otherwise(F.col(n)) for n in ("p_season", "q_season"))
+    covers = pt.in_ranges(F.col("_ranges"), F.col("want_e"))
+    same = (((q_season == F.col("want_s")) & (F.col("q_episode") == F.col("want_e")))
+            | ((p_season == F.col("want_s")) & (F.col("p_episode") == F.col("want_e")))
+            | ((q_season == F.col("want_s")) & covers))
+    wrong = (F.col("p_episode") != 0) & (F.col("p_episode") != F.col("want_e")) & ~covers
+    fits = ~F.exists("_folders", lambda n: F.coalesce(n != F.col("want_s"), F.lit(False)))
     key = [group, "want_s", "want_e"]
-    named = c.filter(same).groupBy(*key).agg(F.max_by(F.struct(file_id, "path", "bytes"), F.struct("bytes", (-F.col(file_id)).alias("first"))).alias("named"))
-    others = F.filter(rx.extract_all(F.col("path"), fv.SEASON_FOLDER), lambda n: F.coalesce(rx.to_int(n) != F.col("want_s"), F.lit(False)))
-    w = W.partitionBy(*key).orderBy("_natural", file_id)
-    nth = c.filter(F.size(others) == 0).withColumn("_natural", tx.natural_sort_key(F.col("path")))
-    nth = nth.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == F.col("want_e"))
-    wrong = (F.col("p_episode") != 0) & (F.col("p_episode") != F.col("want_e")) & ~F.col("_covers")
-    nth = nth.filter(~wrong).select(*key, F.struct(file_id, "path", "bytes").alias("nth"))
-    out = named.join(nth, key, "full").withColumn("b", F.coalesce("named", "nth"))
+    w = W.partitionBy(*key).orderBy("_natural", file_id).rowsBetween(W.unboundedPreceding, W.currentRow)
+    c = c.select(*key, file_id, "path", "bytes", "_natural", same.alias("_same"), wrong.alias("_wrong"), fits.alias("_fits"))
+    c = c.withColumn("_n", F.count_if("_fits").over(w))
+    nth = F.col("_fits") & (F.col("_n") == F.col("want_e")) & ~F.col("_wrong")
+    row = F.struct(file_id, "path", "bytes")
+    best = F.max_by(row, F.when(F.col("_same"), F.struct("bytes", (-F.col(file_id)).alias("first"))))
+    out = c.groupBy(*key).agg(F.coalesce(best, F.max(F.when(nth, row))).alias("b")).filter("b IS NOT NULL")
     return out.select(group, F.col("want_s").alias("season"), F.col("want_e").alias("episode"), f"b.{file_id}", "b.path", "b.bytes")
 
 

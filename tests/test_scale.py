@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from reelweave import fixed_values as fv
 from reelweave.functions import links as ln
+from reelweave.functions import paths as pt
 from reelweave.functions import regex as rx
 from reelweave.functions import text as tx
 from reelweave.operators import filters as fl
 from reelweave.operators import joins as jn
+from reelweave.operators import ranking as rk
 from reelweave.plans import catalog as ct
 from reelweave.workload.fixtures import fixture
 
@@ -81,3 +83,17 @@ def test_titles_of_links_are_compared_once(spark, monkeypatch):
     assert got.columns == ["link", "type", "a", "b", "infohash", "display_name", "stripped_link"]
     assert sorted(-1 if r.infohash is None else int(r.infohash, 16) for r in got.collect()) == [-1, *range(9), 12, 13]
     assert met == [3, 3]
+
+
+def test_paths_are_read_once_for_all_requests(spark):
+    mb = 1 << 20
+    files = [(1, 1, "a/Show S01E03.mkv", 30 * mb), (1, 2, "a/Show S01 EP (04-06).mkv", 40 * mb), (1, 3, "a/Show S01E03.mp4", 50 * mb), (1, 4, "a/sample S01E04.mkv", 60 * mb),
+             (2, 1, "Season 1/x b.mkv", 30 * mb), (2, 2, "Season 1/x a.mkv", 30 * mb), (2, 3, "Season 2/x 0.mkv", 30 * mb), (3, 1, "Special 01.mkv", 30 * mb), (3, 2, "Special 01.srt", 30 * mb),
+             (4, 1, "no request 1.mkv", 30 * mb)]
+    asked = [(1, 1, 3), (1, 1, 5), (1, 1, 5), (1, 2, 9), (2, 1, 2), (3, 0, 1), (3, 1, 1), (5, 1, 1)]
+    got = rk.pick_episode_file(spark.createDataFrame(files, "t bigint, f bigint, path string, bytes bigint"), spark.createDataFrame(asked, "t bigint, season int, episode int"), "t", "f")
+    # 5 of a range, the second in natural order, and a special for season 0 only
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [(1, 1, 3, 3), (1, 1, 5, 2), (2, 1, 2, 1), (3, 0, 1, 1)]
+    one = pt.path_reading(F.col("id").cast("string"), F.lit(1))
+    count = (lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(rx.to_java(fv.PATH_S_E_RANGE)))
+    assert count(got) <= 2 * count(spark.range(1).select(one))  # as written and with canonical tokens
