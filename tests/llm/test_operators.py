@@ -499,3 +499,13 @@ def test_entry_works_without_the_package(hidden):
 
     done = subprocess.run([sys.executable, "-c", _WITHOUT.format(hidden=hidden)], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_substring_moves_runs_of_windows(spark):
+    rnd = random.Random(3)
+    passage = " ".join(f"q{rnd.randrange(10**6)}" for _ in range(300))
+    rows = [(1, passage), (2, passage), (3, f"a b {passage} c"), (4, " ".join(passage.split()[40:200]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text_key", F.xxhash64("text"))
+    got = {r["doc_id"]: sorted((x["at"], x["n"]) for x in r["at"]) for r in substring.covered(df).collect()}
+    assert {d: [k for at, n in runs for k in range(at, at + n)] for d, runs in got.items()} == {2: list(range(251)), 3: list(range(2, 253)), 4: list(range(111))}
+    assert max(len(runs) for runs in got.values()) < 100  # one row a run, not a window
