@@ -112,7 +112,7 @@ def number_ranges(path: Column) -> Column:
     ranges = F.arrays_zip(before.alias("before"), lo.alias("lo"), hi.alias("hi"), after.alias("after"))
     whole = F.filter(ranges, lambda r: (r["before"] == "") & (r["after"] == ""))
     read = F.transform(whole, lambda r: F.struct(rx.to_int(r["lo"]).alias("lo"), rx.to_int(r["hi"]).alias("hi")))
-    return F.when(rx.matches(name, r"(?i)\d\s*(?:-|to)"), read).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+    return F.when(~rx.matches(name, r"(?i)\d\s*(?:-|to)"), F.array().cast("array<struct<lo:int,hi:int>>")).otherwise(read)
 
 
 def in_ranges(ranges: Column, number: Column) -> Column:

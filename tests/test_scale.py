@@ -97,3 +97,8 @@ def test_paths_are_read_once_for_all_requests(spark):
     one = pt.path_reading(F.col("id").cast("string"), F.lit(1))
     count = (lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(rx.to_java(fv.PATH_S_E_RANGE)))
     assert count(got) <= 2 * count(spark.range(1).select(one))  # as written and with canonical tokens
+
+
+def test_ranges_of_no_path_are_unknown(spark):
+    df = spark.createDataFrame([(None,), ("a/1-5.mkv",), ("1-5/a.mkv",), ("a\\3 To 4",), ("1.2-5",)], "p string")
+    assert [r[0] for r in df.select(pt.covers_episode(F.col("p"), F.lit(4))).collect()] == [None, True, False, True, False]
