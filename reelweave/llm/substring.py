@@ -181,6 +181,7 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # equal runs have equal windows; a window can only be in other runs too where its anchor has several
     groups = folder.write(runs.groupBy("c", "x").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "groups")
     several = groups.groupBy("c").agg(F.count("*").alias("k"), F.min("lo").alias("lo"), F.max("lo").alias("hi")).filter("k > 1 AND lo < hi").select("c")
+    several = folder.write(several, "several")  # read back, so that the join has an exchange of its own on both sides, which a hot anchor needs to be split
     # the key is a struct so that equal runs are put together before they move again, and a hot anchor's part of the join can be split
     mixed = runs.join(several, "c").groupBy("x", F.struct("c").alias("of")).agg(F.min("doc_id").alias("lo"), F.first("off").alias("off"), F.first("hashes").alias("hashes"))
     mixed = folder.write(mixed.select("of.c", "x", "lo", "off", "hashes"), "mixed")
