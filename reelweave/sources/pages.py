@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import html.parser
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,7 +88,22 @@ def page_title(html: Column, site_suffix: str = "") -> Column:
     return F.coalesce(rx.non_empty(head), rx.non_empty(title), F.lit(fv.UNKNOWN_PAGE_TITLE))
 
 
-class _Links(HTMLParser):
+# Markup as nearly all of it is written.  A page that holds anything else is read by the library's parser.
+_ATTRIBUTE = r"""[ \t\r\n\f]+([a-zA-Z][a-zA-Z0-9_:.-]*)(?:=(?:"([^"<>]*)"|'([^'<>]*)'))?(?![^ \t\r\n\f/>])"""
+_ATTRIBUTES = f"(?:{re.sub(r'\((?!\?)', '(?:', _ATTRIBUTE)})*"
+_NO_MARKUP_IN = "script|style|title|textarea|iframe|noembed|noframes|noscript|xmp|plaintext"
+_TOKEN = re.compile(
+    rf"[^<]*<(?:(?!(?i:{_NO_MARKUP_IN})[ \t\r\n\f/>])(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>{_ATTRIBUTES})[ \t\r\n\f]*(?P<empty>/?)>"
+    r"|/(?P<end>[a-zA-Z][a-zA-Z0-9]*)>"
+    r"|!--(?!-?>)(?:[^-]|-(?!-))*-->"
+    r"|!(?i:doctype) [a-zA-Z]+>"
+    rf"|(?P<code>script|style){_ATTRIBUTES}>(?:[^<]|<(?![/!]))*</(?P=code)>"
+    rf"|(?P<plain>title|textarea){_ATTRIBUTES}>[^<]*</(?P=plain)>)")
+_EACH_ATTRIBUTE = re.compile(_ATTRIBUTE)
+_unescape = getattr(html.parser, "_unescape_attrvalue", html.parser.unescape)
+
+
+class _Links(html.parser.HTMLParser):
     """Links of a scheme and the blocks that they stand in."""
 
     def __init__(self, scheme: str):
@@ -119,6 +135,28 @@ class _Links(HTMLParser):
         if tag not in _VOID:
             self.handle_endtag(tag)
 
+    def read(self, page: str) -> list[str]:
+        if not self._read_plain(page):
+            self.__init__(self.scheme)
+            self.feed(page)
+            self.close()
+        return self.inside()
+
+    def _read_plain(self, page: str) -> bool:
+        """The page's tags in one pass; False where something is not plainly written."""
+        at = 0
+        while token := _TOKEN.match(page, at):
+            at = token.end()
+            tag, attrs, empty, end, code, plain = token.groups()
+            if tag:
+                values = [(name.lower(), _unescape(double or single)) for name, double, single in _EACH_ATTRIBUTE.findall(attrs)] if attrs else []
+                (self.handle_startendtag if empty else self.handle_starttag)(tag.lower(), values)
+            elif end:
+                self.handle_endtag(end.lower())
+            elif code or plain:
+                self.handle_startendtag(code or plain, [])
+        return "<" not in page[at:]
+
     def inside(self) -> list[str]:
         """Distinct links in page order within the closest marked block of the first link that has one, else two levels up."""
         for mark in ("ipsPad", "ipsType_normal", "article"):
@@ -139,10 +177,7 @@ def _links_of(scheme: str):
     def links(html: pd.Series) -> pd.Series:
         out = []
         for page in html:
-            parser = _Links(scheme)
-            parser.feed(page or "")
-            parser.close()
-            out.append(parser.inside())
+            out.append(_Links(scheme).read(page or ""))
         return pd.Series(out, dtype=object)
     return links
 
