@@ -35,12 +35,12 @@ def choose_load_mode(index: DataFrame, force: bool = False) -> str:
 
 
 def import_legacy_threads(rows: DataFrame, default_origin: str = idn.DEFAULT_ORIGIN) -> DataFrame:
-    """Legacy threads (links as JSON text) with fresh titles, stripped links and identity keys."""
-    links = F.coalesce(F.from_json("magnet_uris", "array<string>"), F.array().cast("array<string>"))
+    """Legacy threads (links as a list or its JSON text) with fresh titles, stripped links and identity keys."""
+    links = F.from_json("magnet_uris", "array<string>") if rows.schema["magnet_uris"].dataType == StringType() else F.col("magnet_uris")
+    links = F.coalesce(links, F.array().cast("array<string>"))
     df = idn.add_identity_keys(rows.drop("thread_hash"), default_origin=default_origin)
     df = rel.add_title_parts(df, "raw_title", "_title", "_year", "_rest")
-    stripped = F.transform(links, lambda m: ln.stripped_link(m, ln.infohash(m), ln.display_name(m)))
-    return df.withColumns({"clean_title": F.col("_title"), "magnet_uris": F.array_distinct(stripped), "url": F.col("canonical_url")}).drop(
+    return df.withColumns({"clean_title": F.col("_title"), "magnet_uris": F.array_distinct(ln.stripped_links(links)), "url": F.col("canonical_url")}).drop(
         "_title", "_year", "_rest", "canonical_url", "topic_id")
 
 
@@ -93,7 +93,7 @@ def import_legacy(tables: dict[str, DataFrame], default_origin: str = idn.DEFAUL
         wrong = rows.filter("_fault IS NOT NULL").select(F.lit(name).alias("table_name"), F.concat_ws("/", *key).alias("key"), F.col("_fault").alias("fault"), F.col("_text").alias("raw"))
         good = rows.filter("_fault IS NULL").drop("_fault", "_text")
         if name == "threads":
-            keyed = import_legacy_threads(good.withColumn("_old_hash", F.col("thread_hash")).withColumn("magnet_uris", F.to_json("magnet_uris")), default_origin)
+            keyed = import_legacy_threads(good.withColumn("_old_hash", F.col("thread_hash")), default_origin)
             keyed = materialize(keyed, "legacy-keyed")
             moved = keyed.groupBy(F.col("_old_hash").alias("thread_hash")).agg(F.max("thread_hash").alias("_new_hash"))
             scalars = [c for c in keyed.columns if c not in ("thread_hash", "url", "magnet_uris", "_old_hash")]
