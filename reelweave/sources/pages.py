@@ -6,7 +6,7 @@ import html.parser
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ _VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""  # quoted either way or bare
 _ITEM = r"(?is)(<h4[^>]*\bipsDataItem_title\b[^>]*>.*?)(?=<h4[^>]*\bipsDataItem_title\b|\z)"
 _ANCHOR = rf"(?is)<span[^>]*\bipsType_break\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*{_VALUE}[^>]*>(.*?)</a>"
 _TIME = rf"(?is)<time\b[^>]*?\bdatetime\s*=\s*{_VALUE}"
+#: Bytes of pages that a Python worker is given at once.
+BYTES_AT_ONCE = 4 << 20
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -172,6 +174,14 @@ class _Links(html.parser.HTMLParser):
         return list(dict.fromkeys(link for link, blocks in self.found if block is None or any(n == block for n, _ in blocks)))
 
 
+def few_pages_at_once(spark: SparkSession) -> None:
+    """Arrow batches of few bytes for this session, if it has no smaller ones: pages are long, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if now <= 0 or now > BYTES_AT_ONCE:
+        spark.conf.set(name, BYTES_AT_ONCE)
+
+
 def _links_of(scheme: str):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def links(html: pd.Series) -> pd.Series:
@@ -185,6 +195,7 @@ def _links_of(scheme: str):
 def extract_links(pages: DataFrame, scheme: str = "magnet:?", site_suffix: str = "", as_of: Column | None = None) -> DataFrame:
     """One row per page that holds links of a scheme: title, links in page order, date."""
     # nested blocks need a real walk, so the links are read with a parser; pages without the scheme are left out before
+    few_pages_at_once(pages.sparkSession)
     pages = pages.filter(F.contains("html", F.lit(scheme)))
     links = _links_of(scheme)(F.col("html"))
     posted = F.try_to_timestamp(F.nullif(attribute(F.col("html"), _TIME), F.lit("")))
