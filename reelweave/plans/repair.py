@@ -51,20 +51,20 @@ def repaired_threads(threads: DataFrame, canonical: DataFrame, default_origin: s
     keyed = idn.add_identity_keys(threads.withColumnRenamed("thread_hash", "_old_hash"), default_origin=default_origin)
     keyed = materialize(keyed.drop("topic_id", "canonical_url"), "keyed-threads")
     groups = keyed.groupBy("thread_hash").agg(F.count("*").alias("_n"), F.bool_or(F.col("_old_hash") != F.col("thread_hash")).alias("_moved"))
-    keyed = materialize(keyed.join(groups.filter("_n > 1 OR _moved").select("thread_hash", F.lit(True).alias("_merge")), "thread_hash", "left"), "grouped-threads")
-    merging = keyed.filter("_merge").drop("_merge", "_old_hash", "thread_hash").withColumn("thread_id", F.col("id"))
-    merged = ag.consolidate_duplicates(merging, default_origin)
+    # only the hashes are written again, not the rows with their links
+    groups = materialize(groups.filter("_n > 1 OR _moved").select("thread_hash"), "merged-hashes")
+    merging = keyed.join(groups, "thread_hash", "left_semi")
+    merged = ag.consolidate_duplicates(merging.drop("_old_hash").withColumn("thread_id", F.col("id")), default_origin, keyed=True)
     # fields that merging has no rule for come from the latest record
     rest = [c for c in threads.columns if c not in merged.columns]
-    latest = keyed.filter("_merge").withColumn("_newest", F.struct((-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("newest"), "id"))
+    latest = merging.withColumn("_newest", F.struct((-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("newest"), "id"))
     latest = latest.groupBy("thread_hash").agg(F.min_by(F.struct(*rest), "_newest").alias("_r")).select("thread_hash", "_r.*")
     merged = merged.withColumn("magnet_uris", F.coalesce("magnet_uris", F.array().cast("array<string>")))
     merged = merged.join(latest, "thread_hash").select(*threads.columns)
-    alone = keyed.filter("_merge IS NULL").select(*threads.columns)
-    both = materialize(merged.unionByName(alone), "merged-threads")
-    both = _renamed(both, canonical).withColumn("type", tx.normalize_media_type(F.col("type")))
+    alone = keyed.join(groups, "thread_hash", "left_anti").select(*threads.columns)
+    both = _renamed(merged.unionByName(alone), canonical).withColumn("type", tx.normalize_media_type(F.col("type")))
     both = both.withColumn("url", F.when(idn.topic_id(F.coalesce("url", F.lit(""))) == "", F.lit("")).otherwise(F.col("url")))
-    return rk.assign_ids(materialize(both.select(*threads.columns), "repaired-threads"), ["thread_hash"])
+    return rk.assign_ids(materialize(both.select(*threads.columns), "repaired-threads"), ["thread_hash"], written=True)
 
 
 def repair(tables: dict[str, DataFrame], as_of: Column, default_origin: str = idn.DEFAULT_ORIGIN) -> dict[str, DataFrame]:
@@ -73,14 +73,14 @@ def repair(tables: dict[str, DataFrame], as_of: Column, default_origin: str = id
     A second repair at the same time changes nothing.
     """
     canonical = canonical_ids(tables["tmdb_metadata"])
-    threads = materialize(repaired_threads(tables["threads"], canonical, default_origin), "repaired-threads")
+    threads = repaired_threads(tables["threads"], canonical, default_origin)
     built = ag.build_links(threads.select("tmdb_id", "type", "status", "magnet_uris"))
     built = rk.latest_by_key(built, ["tmdb_id", "infohash"], ["season", "episode", "episode_end", "quality", "language"], fold=["infohash"])
     # a link that stands keeps its number and the time it was found
     stood = _renamed(tables["streams"], canonical).groupBy("tmdb_id", F.lower("infohash").alias("infohash")).agg(
         F.min("id").alias("id"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
     built = built.join(stood, ["tmdb_id", "infohash"], "left").withColumns({c: F.coalesce(c, as_of) for c in ("created_at", "updated_at")})
-    streams = rk.assign_ids(materialize(built, "rebuilt-links"), ["tmdb_id", "infohash"])
+    streams = rk.assign_ids(built, ["tmdb_id", "infohash"])
     watched = jn.orphaned_index_rows(tables["watchlist"], threads)
     watchlist = tables["watchlist"].join(watched.select("thread_hash"), "thread_hash", "left_anti")
     series = fl.by_status(threads, fv.LINKED).join(watchlist.select("thread_hash"), "thread_hash", "left_anti")
