@@ -20,7 +20,9 @@ def fold_batch(batch: DataFrame, seq: str, scalars: list[str]) -> DataFrame:
     top = batch.groupBy("thread_hash").agg(
         F.max_by(F.struct(*scalars), seq).alias("k"),
         F.max_by("url", F.when(F.coalesce("url", F.lit("")) != "", F.col(seq))).alias("url"))
-    rows = batch.select("thread_hash", seq, F.posexplode("magnet_uris").alias("_pos", "_link")).filter(F.coalesce("_link", F.lit("")) != "")
+    # lists move once as they are; their links need not move again to be grouped
+    rows = batch.select("thread_hash", seq, "magnet_uris").repartition("thread_hash")
+    rows = rows.select("thread_hash", seq, F.posexplode("magnet_uris").alias("_pos", "_link")).filter(F.coalesce("_link", F.lit("")) != "")
     first = rows.groupBy("thread_hash", "_link").agg(F.min(F.struct((-F.col(seq)).alias("newest"), "_pos")).alias("at"))
     links = first.groupBy("thread_hash").agg(F.sort_array(F.collect_list(F.struct("at", "_link"))).alias("l")).select(
         "thread_hash", F.col("l._link").alias("magnet_uris"))

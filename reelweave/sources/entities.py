@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -58,14 +58,19 @@ LEGACY = (
 _LATEST = ("updated_at", "last_checked", "last_attempt", "created_at")
 
 
-def _decoded(rows: DataFrame, json: dict[str, str]) -> DataFrame:
-    """JSON columns read, ``_fault`` naming the first that can't be; blank text is an empty list."""
+def _decoded(rows: DataFrame, json: dict[str, str], keyless: Column) -> DataFrame:
+    """JSON columns read, ``_fault`` naming the first that can't be or a lacking key; blank text is an empty list.
+
+    ``_text`` is the row as it came, where it has a fault.
+    """
+    text = F.to_json(F.struct(*rows.columns))
     fault = F.lit(None).cast("string")
     for name, kind in json.items():
         value = F.from_json(F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("[]")), kind, {"mode": "PERMISSIVE"})
         rows = rows.withColumn(f"_{name}", value)
         fault = F.coalesce(fault, F.when(F.col(f"_{name}").isNull(), F.lit(f"{name} is no list")))
-    rows = rows.withColumn("_fault", fault)
+    rows = rows.withColumn("_fault", F.coalesce(fault, F.when(keyless, F.lit("no key"))))
+    rows = rows.withColumn("_text", F.when(F.col("_fault").isNotNull(), text))
     return rows.withColumns({name: F.col(f"_{name}") for name in json}).drop(*[f"_{name}" for name in json])
 
 
@@ -84,12 +89,11 @@ def import_legacy(tables: dict[str, DataFrame], default_origin: str = idn.DEFAUL
         if legacy not in tables:
             continue
         source = tables[legacy]
-        text = F.to_json(F.struct(*source.columns))
-        rows = materialize(_decoded(source.withColumn("_text", text), json), f"legacy-{name}")
         keyless = F.lit(False)
         for k in key:
             keyless = keyless | (F.coalesce(F.col(k).cast("string"), F.lit("")) == "")
-        rows = rows.withColumn("_fault", F.coalesce("_fault", F.when(keyless, F.lit("no key"))))
+        # a row is kept as text only where it can't be read
+        rows = materialize(_decoded(source, json, keyless), f"legacy-{name}")
         wrong = rows.filter("_fault IS NOT NULL").select(F.lit(name).alias("table_name"), F.concat_ws("/", *key).alias("key"), F.col("_fault").alias("fault"), F.col("_text").alias("raw"))
         good = rows.filter("_fault IS NULL").drop("_fault", "_text")
         if name == "threads":
